@@ -48,7 +48,7 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_copies_ties_and_dirt(spark):
     rows = make(60, 1)
-    rows += [(100 + i, "a", [1.0, 2, 3, 4, 5, 6, 7, 8]) for i in range(40)]  # more copies than a list holds
+    rows += [(100 + i, "a", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]) for i in range(40)]  # more copies than a list holds
     rows += [(200, "a", None), (201, "a", [0.0] * 8), (202, "a", [1.0]), (203, "a", [float("nan")] * 8), (204, "a", [None] * 8)]
     rows += [(300, None, [1.0] * 8), (301, None, [2.0] * 8), (302, "alone", [1.0] * 8)]
     assert run(spark, rows) == {k: v for k, v in brute(rows, 10).items() if v}
