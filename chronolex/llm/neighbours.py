@@ -45,10 +45,14 @@ from chronolex.runtime import shared_dir
 SAMPLE_ROWS = 65_536
 #: Points wanted in a cell and, at most, in a leaf.
 CELL_POINTS = 4096
-LEAF_POINTS = 256
+LEAF_POINTS = 512
 #: Spaces whose names the driver may hold; more is an error.
 MOST_SPACES = 100_000
-_CELLS_HELD = 96
+_CELLS_HELD = 64
+#: The first ring reaches as far as if the k-th best were at this squared distance, and
+#: rings grow at most by this factor.  They order the work and leave the result as it is.
+FIRST_RADIUS = 0.06
+RADIUS_GROWTH = 1.7
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -72,8 +76,8 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 def projected_dimensions(rows: int) -> int:
-    """Half the binary digits of the row count: the ball that a query verifies then stays small."""
-    return max(6, min(12, round(math.log2(max(2, rows)) / 2)))
+    """Half the binary digits of the row count and one: the ball that a query verifies then stays small."""
+    return max(6, min(14, round(math.log2(max(2, rows)) / 2) + 1))
 
 
 def directions(dim: int, m: int, seed: int) -> np.ndarray:
@@ -188,7 +192,7 @@ class _Cells:
         projected = unit @ self.proj
         box = lambda c: np.stack([np.frombuffer(x, np.float32) for x in t[c].to_pylist()])
         got = {
-            "raw": raw, "unit": unit, "proj": projected, "norm": (projected * projected).sum(axis=1), "ends": np.concatenate([[0], np.cumsum(points)]), "lo": box("lo"), "hi": box("hi"),
+            "raw": raw, "unit": unit, "proj": projected, "norm": (norm := (projected * projected).sum(axis=1)), "lifted": np.ascontiguousarray(np.vstack([2 * projected.T, -norm])), "ends": np.concatenate([[0], np.cumsum(points)]), "lo": box("lo"), "hi": box("hi"),
             "key_counts": np.concatenate([np.frombuffer(x, np.int32) for x in t["key_counts"].to_pylist()]), "keys": np.concatenate([np.frombuffer(x, np.int64) for x in t["keys"].to_pylist()]),
         }
         got["key_ends"] = np.concatenate([[0], np.cumsum(got["key_counts"])])
@@ -228,41 +232,52 @@ class _Best:
         self.cos[who], self.cell[who], self.row[who] = ac[take].reshape(-1, keep), al[take].reshape(-1, keep), ar[take].reshape(-1, keep)
 
 
-def search_block(cells: _Cells, directory, s: int, cell: int, rows: np.ndarray, k: int, stop: float) -> _Best:
-    """Nearest points of the queries ``rows`` of a cell: blocks in ascending projected distance until the test holds."""
+def search_cell(cells: _Cells, directory, s: int, cell: int, k: int, stop: float) -> _Best:
+    """Nearest points of all queries of a cell: rings of growing projected radius until the test holds.
+
+    The test: of a vector nearer than the k-th best at squared distance d, the squared
+    projected distance is above ``stop * d`` with a probability below 1 - confidence.
+    """
     numbers, lo, hi = directory
     home = cells.get(s, cell)
-    unit, proj, norm = home["unit"][rows], home["proj"][rows], home["norm"][rows]
-    best = _Best(len(rows), k + 9, k)  # itself, k others, and 8 for the exact ranking
+    unit, proj, norm = home["unit"], home["proj"], home["norm"]
+    asked = np.hstack([proj, np.ones((len(proj), 1), np.float32)])
+    best = _Best(len(unit), k + 9, k)  # itself, k others, and 8 for the exact ranking
     far = box_distance(proj, lo, hi)
-    order = np.argsort(np.where(numbers == cell, -1, far.min(axis=0)), kind="stable")
-    for c in order:
-        # the test: of a vector nearer than the k-th best, the projected distance is seldom above this
-        radius = stop * 2 * np.maximum(0, 1 - best.worst())
-        want = np.flatnonzero(far[:, c] <= radius)
-        if not len(want):
-            continue
-        other = cells.get(s, int(numbers[c]))
-        near = box_distance(proj[want], other["lo"], other["hi"])
-        leaves = np.argsort(near.min(axis=0), kind="stable")
-        for step in (leaves[:4], leaves[4:]):  # the nearest leaves first: they narrow the radius of the others
-            radius = stop * 2 * np.maximum(0, 1 - best.worst()[want])
+    order = np.argsort(far.min(axis=0), kind="stable")
+    open_ = np.arange(len(unit))
+    inner = np.full(len(unit), -1.0, np.float32)  # what lies this near has been verified
+    outer = np.full(len(unit), stop * FIRST_RADIUS, np.float32)
+    everything = stop * 4  # no two unit vectors are farther apart
+    while len(open_):
+        for c in order:
+            want = open_[far[open_, c] <= outer[open_]]
+            if not len(want):
+                continue
+            other = cells.get(s, int(numbers[c]))
+            visit = box_distance(proj[want], other["lo"], other["hi"]) <= outer[want][:, None]
             qs, rs = [], []
-            for leaf in step:
-                sub = np.flatnonzero(near[:, leaf] <= radius)
-                if not len(sub):
-                    continue
+            for leaf in np.flatnonzero(visit.any(axis=0)):
+                q = want[visit[:, leaf]]
                 a, b = other["ends"][leaf], other["ends"][leaf + 1]
-                q = want[sub]
-                d = proj[q] @ other["proj"][a:b].T
-                hit_q, hit_r = np.nonzero(2 * d >= norm[q][:, None] + other["norm"][None, a:b] - radius[sub][:, None])
-                qs.append(q[hit_q])
-                rs.append(hit_r + a)
+                least, most = (norm[q] - outer[q])[:, None], norm[q] - inner[q]
+                for i in range(0, len(q), 512):  # 2 q.p - |p|^2 against |q|^2 - radius, in pieces that stay in cache
+                    d = asked[q[i : i + 512]] @ other["lifted"][:, a:b]
+                    hit = np.flatnonzero(d >= least[i : i + 512])
+                    if len(hit):
+                        who = hit // (b - a) + i
+                        ring = d.ravel()[hit] < most[who]
+                        qs.append(q[who[ring]])
+                        rs.append(hit[ring] % (b - a) + a)
             if qs:
                 q, r = np.concatenate(qs), np.concatenate(rs)
-                for i in range(0, len(q), 200_000):
-                    x, y = q[i : i + 200_000], r[i : i + 200_000]
+                for i in range(0, len(q), 20_000):
+                    x, y = q[i : i + 20_000], r[i : i + 20_000]
                     best.add(x, np.einsum("ij,ij->i", unit[x], other["unit"][y]), int(numbers[c]), y)
+        needed = stop * 2 * np.maximum(0, 1 - best.worst())
+        open_ = open_[(needed[open_] > outer[open_]) & (outer[open_] < everything)]
+        inner[open_] = outer[open_]
+        outer[open_] = np.minimum(needed[open_], outer[open_] * RADIUS_GROWTH)
     return best
 
 
@@ -338,13 +353,11 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells(path, dim, proj)
         for batch in batches:
-            for s, cell, leaf, most in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                home = cells.get(s, cell)
-                at = np.arange(home["ends"][leaf], home["ends"][leaf + 1])
-                best = search_block(cells, boxes[s], s, cell, at, k, stop)
-                yield _ranked(cells, s, cell, at, best, k, most > k1)
+            for s, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                best = search_cell(cells, boxes[s], s, cell, k, stop)
+                yield from _ranked(cells, s, cell, best, k, crowded)
 
-    asked = index.select("s", "cell", "leaf", "most_copies")
+    asked = index.where("leaf = 0").select("s", "cell")
     found = asked.mapInArrow(search, "key long, neighbour long, similarity double, position int, copies_of binary")
     lists = found.where("copies_of is null").drop("copies_of")
     if not crowded:
@@ -352,11 +365,16 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     return lists.unionByName(_further_copies(rows, found, index, k1, dim, names))
 
 
-def _ranked(cells: _Cells, s: int, cell: int, at: np.ndarray, best: _Best, k: int, crowded: bool) -> pa.RecordBatch:
+def _ranked(cells: _Cells, s: int, cell: int, best: _Best, k: int, crowded: bool) -> Iterator[pa.RecordBatch]:
     """The exact ranking of the best points, with copies, for all keys of each query."""
+    for a in range(0, len(best.row), 1024):
+        yield _ranked_part(cells, s, cell, np.arange(a, min(a + 1024, len(best.row))), best, k, crowded)
+
+
+def _ranked_part(cells: _Cells, s: int, cell: int, at: np.ndarray, best: _Best, k: int, crowded: bool) -> pa.RecordBatch:
     home = cells.get(s, cell)
-    q, j = np.nonzero(best.row >= 0)
-    row, from_cell = best.row[q, j], best.cell[q, j]
+    q, j = np.nonzero(best.row[at] >= 0)
+    row, from_cell = best.row[at][q, j], best.cell[at][q, j]
     raw = np.empty((len(q), home["raw"].shape[1]), np.float64)
     n_keys = np.empty(len(q), np.int64)
     first = np.empty(len(q), np.int64)
