@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, lookalike, neighbours, packing, quota, termcounts
+from chronolex.llm import bpe, lookalike, neighbours, packing, quota, sentences, termcounts
 from chronolex.runtime import table
 
 
@@ -25,6 +25,11 @@ def p3_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return termcounts.ngram_counts(table(spark, d, "speeches"), "speech_id", "speech", max_n=2).where("n = 2").select("term", "occurrences", "records")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    digital = table(spark, d, "speeches").where(~F.col("origin").eqNullSafe("archive"))
+    return sentences.split_sentences(digital).select(F.col("key").alias("row_id"), "sent_end")
+
+
 def _quota(spark: SparkSession, d: str) -> quota.Quota:
     return quota.labelled_quota(table(spark, d, "opus_vs_haiku"), table(spark, d, "sample_targets"))
 
@@ -65,7 +70,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_membership(table(spark, d, "documents")).toDF("doc_id", "class_id", "texts")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_terms, p3_bigrams, p5_found, p5_sample, p5_report, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_terms, p3_bigrams, p4_found, p5_found, p5_sample, p5_report, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
 
 _TERMS = """
 WITH rec AS (SELECT speech_id, min(speech) AS speech FROM speeches WHERE speech_id IS NOT NULL AND speech IS NOT NULL GROUP BY speech_id),
