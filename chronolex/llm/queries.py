@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, lookalike, neighbours, packing, quota, sentences, termcounts
+from chronolex.llm import bpe, lookalike, neighbours, packing, quota, scanrepair, sentences, termcounts
 from chronolex.runtime import table
 
 
@@ -46,6 +46,22 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _quota(spark, d).report
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    speeches = table(spark, d, "speeches")
+    scanned = speeches.where("origin = 'archive'").select(F.struct(F.lit("speeches").alias("source_table"), F.col("row_id").alias("rec_key")).alias("rec"), F.col("speech").alias("t"))
+    labelled = table(spark, d, "opus_vs_haiku").select(F.struct(F.lit("opus_vs_haiku").alias("source_table"), F.col("eval_id").alias("rec_key")).alias("rec"), F.col("sentence").alias("t"))
+    reliable = speeches.where(~F.col("origin").eqNullSafe("archive")).select(F.col("speech").alias("t"))
+    return scanrepair.repair_scans(scanned.unionByName(labelled), reliable, "rec", "t")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanrepair.findings(_scans(spark, d)).select("key.source_table", "key.rec_key", "kind", "item")
+
+
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).select("key.source_table", "key.rec_key", "text")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -70,7 +86,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_membership(table(spark, d, "documents")).toDF("doc_id", "class_id", "texts")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_terms, p3_bigrams, p4_found, p5_found, p5_sample, p5_report, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_terms, p3_bigrams, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_text, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
 
 _TERMS = """
 WITH rec AS (SELECT speech_id, min(speech) AS speech FROM speeches WHERE speech_id IS NOT NULL AND speech IS NOT NULL GROUP BY speech_id),
