@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, lookalike, neighbours, packing, quota, scanrepair, sentences, termcounts
+from chronolex.llm import bpe, entities, lookalike, neighbours, packing, quota, scanrepair, sentences, termcounts
 from chronolex.runtime import table
 
 
@@ -13,6 +13,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "wiki_vectors")).select(F.col("key").alias("vec_id"), F.col("neighbour").alias("neighbour_id"))
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities.resolve(table(spark, d, "name_forms"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return entities.linked_pairs(_entities(spark, d)).toDF("form_a", "form_b")
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _entities(spark, d).toDF("form_id", "entity")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return termcounts.mark_terms(table(spark, d, "speeches")).where("mark is not null").select("term", "mark")
 
@@ -86,7 +98,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_membership(table(spark, d, "documents")).toDF("doc_id", "class_id", "texts")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_terms, p3_bigrams, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_text, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_entities, p3_found, p3_terms, p3_bigrams, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_text, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
 
 _TERMS = """
 WITH rec AS (SELECT speech_id, min(speech) AS speech FROM speeches WHERE speech_id IS NOT NULL AND speech IS NOT NULL GROUP BY speech_id),
