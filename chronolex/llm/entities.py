@@ -155,6 +155,8 @@ def _person(tokens: list[str], out: dict) -> None:
     if len(tokens) == 2 and re.sub(r"\W", "", plain(tokens[-1])) in AFTER_NAME and not tokens[-1].isupper():
         tokens.pop()
     tokens = [t.lstrip(".") for t in tokens]
+    if len(tokens) == 1 and not re.match(r"(?:Mac|Mc|O[’'])[A-Z]\w*$", tokens[0]):  # a blank was left out
+        tokens = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=\.)(?=\w)|(?<=[A-Z]{3})(?=[A-Z][^\W\d_A-Z])", " ", tokens[0], count=1).split()
     if not tokens:
         return
     if len(tokens) == 2 and tokens[1].isalpha() and tokens[1].isupper() and len(tokens[1]) <= 3 and len(tokens[0]) > 3:
@@ -246,7 +248,8 @@ def party_words(name: str) -> tuple[str, ...]:
     s = f"{b.strip()} {a}" if comma else s
     if re.fullmatch(r"(?:[a-z]\.){2,}", s):
         return ("=" + s.replace(".", ""),)
-    return tuple(w for t in s.split() if (w := re.sub(r"[^a-z.-]", "", t).strip("-")) and w not in ("the", "."))
+    words = [w for t in s.split() if (w := re.sub(r"[^a-z.-]", "", t).strip("-")) and w != "."]
+    return tuple(words[1:] if words[:1] == ["the"] else words)
 
 
 @lru_cache(200_000)
