@@ -482,7 +482,6 @@ def _candidates(profiles: DataFrame, wide: bool) -> DataFrame:
     pairs = shared.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     part = F.concat_ws("\u0001", "block", F.least("chunk", "other").cast("string"), F.greatest("chunk", "other").cast("string"))
     rows = pairs.select(part.alias("block"), "chunk", (F.col("chunk") != F.col("other")).alias("two"), "id", "profile")
-    # in a block of two chunks both sides say so: its rows with chunk = other are those of one chunk only
     spread_out = rows.repartition("block").sortWithinPartitions("block", "id")
     return spread_out.mapInPandas(_match_blocks, "a long, b long, sure boolean, score double, place string")
 
@@ -504,15 +503,21 @@ def components(edges: DataFrame) -> DataFrame:
 def _merge(profiles: DataFrame, roots: DataFrame) -> DataFrame:
     """Profiles of one component united; ``roots(id, root)`` names those that move."""
 
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, set] = {}
-        for p in pdf["profile"]:
-            for k, v in json.loads(p).items():
-                out.setdefault(k, set()).update(v)
-        return pd.DataFrame([(int(pdf["root"].iloc[0]), pdf["kind"].iloc[0], dump(out))], columns=["id", "kind", "profile"])
+    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[tuple] = []
+        for rows in _runs(batches):
+            out: dict[str, set] = {}
+            for _, p, _ in rows:
+                for k, v in json.loads(p).items():
+                    out.setdefault(k, set()).update(v)
+            done.append((rows[0][0], rows[0][2], dump(out)))
+            if len(done) > 20_000:
+                yield pd.DataFrame(done, columns=["id", "kind", "profile"])
+                done = []
+        yield pd.DataFrame(done, columns=["id", "kind", "profile"])
 
     moved = profiles.join(roots, "id")
-    return written(profiles.join(roots, "id", "left_anti").select("id", "kind", "profile").unionByName(moved.groupBy("root").applyInPandas(unite, "id long, kind string, profile string")))
+    return written(profiles.join(roots, "id", "left_anti").select("id", "kind", "profile").unionByName(moved.select("root", "profile", "kind").repartition("root").sortWithinPartitions("root").mapInPandas(unite, "id long, kind string, profile string")))
 
 
 def resolve(df: DataFrame, key: str = "form_id", kind: str = "kind", display: str = "display_as", speaker: str = "speaker", party: str = "party") -> DataFrame:
