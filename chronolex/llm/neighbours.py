@@ -196,6 +196,8 @@ class _Cells:
             "key_counts": np.concatenate([np.frombuffer(x, np.int32) for x in t["key_counts"].to_pylist()]), "keys": np.concatenate([np.frombuffer(x, np.int64) for x in t["keys"].to_pylist()]),
         }
         got["key_ends"] = np.concatenate([[0], np.cumsum(got["key_counts"])])
+        got["least"] = got["keys"][got["key_ends"][:-1]]
+        got["length"] = np.linalg.norm(raw.astype(np.float64), axis=1)
         self.held[s, cell] = got
         if len(self.held) > _CELLS_HELD:
             self.held.popitem(last=False)
@@ -203,10 +205,15 @@ class _Cells:
 
 
 class _Best:
-    """The best ``keep`` points so far of each query of a block."""
+    """The best ``keep`` points so far of each query of a block, by rounded cosine and then smallest key.
+
+    A point that comes after k+1 others in this order holds none of the first k+1 entries,
+    so that many points decide a list however many points tie.
+    """
 
     def __init__(self, queries: int, keep: int, kth: int):
-        self.cos = np.full((queries, keep), -2.0, np.float32)
+        self.cos = np.full((queries, keep), -2.0)
+        self.key = np.full((queries, keep), np.iinfo(np.int64).max)
         self.cell = np.full((queries, keep), -1, np.int32)
         self.row = np.full((queries, keep), -1, np.int32)
         self.kth = kth
@@ -214,22 +221,30 @@ class _Best:
     def worst(self) -> np.ndarray:
         return self.cos[:, self.kth]
 
-    def add(self, q: np.ndarray, cos: np.ndarray, cell: int, row: np.ndarray) -> None:
-        better = cos > self.cos[q, -1]
+    def add(self, q: np.ndarray, cos: np.ndarray, key: np.ndarray, cell: int, row: np.ndarray) -> None:
+        last = self.cos[q, -1]
+        better = (cos > last) | ((cos == last) & (key < self.key[q, -1]))
         if not better.any():
             return
-        q, cos, row = q[better], cos[better], row[better]
+        q, cos, key, row = q[better], cos[better], key[better], row[better]
         who = np.unique(q)
         keep = self.cos.shape[1]
         aq = np.concatenate([np.repeat(who, keep), q])
         ac = np.concatenate([self.cos[who].ravel(), cos])
+        ak = np.concatenate([self.key[who].ravel(), key])
         al = np.concatenate([self.cell[who].ravel(), np.full(len(q), cell, np.int32)])
         ar = np.concatenate([self.row[who].ravel(), row.astype(np.int32)])
-        order = np.lexsort((-ac, aq))
+        order = np.lexsort((ak, -ac, aq))
         aq = aq[order]
         start = np.flatnonzero(np.concatenate([[True], aq[1:] != aq[:-1]]))
         take = order[(start[:, None] + np.arange(keep)).ravel()]  # everyone has at least ``keep`` lines
-        self.cos[who], self.cell[who], self.row[who] = ac[take].reshape(-1, keep), al[take].reshape(-1, keep), ar[take].reshape(-1, keep)
+        self.cos[who], self.key[who], self.cell[who], self.row[who] = (x[take].reshape(-1, keep) for x in (ac, ak, al, ar))
+
+
+def _cosines(home: dict, x: np.ndarray, other: dict, y: np.ndarray) -> np.ndarray:
+    """Similarities as they are defined: in double precision, rounded."""
+    dot = np.einsum("ij,ij->i", home["raw"][x].astype(np.float64), other["raw"][y].astype(np.float64))
+    return np.round(dot / (home["length"][x] * other["length"][y]), 9)
 
 
 def search_cell(cells: _Cells, directory, s: int, cell: int, k: int, stop: float) -> _Best:
@@ -242,7 +257,8 @@ def search_cell(cells: _Cells, directory, s: int, cell: int, k: int, stop: float
     home = cells.get(s, cell)
     unit, proj, norm = home["unit"], home["proj"], home["norm"]
     asked = np.hstack([proj, np.ones((len(proj), 1), np.float32)])
-    best = _Best(len(unit), k + 9, k)  # itself, k others, and 8 for the exact ranking
+    best = _Best(len(unit), k + 9, k)  # itself, k others, and 8 to spare
+    error = (unit.shape[1] + 4) * 2.0**-24  # of a cosine in single precision, at most
     far = box_distance(proj, lo, hi)
     order = np.argsort(far.min(axis=0), kind="stable")
     open_ = np.arange(len(unit))
@@ -273,8 +289,10 @@ def search_cell(cells: _Cells, directory, s: int, cell: int, k: int, stop: float
                 q, r = np.concatenate(qs), np.concatenate(rs)
                 for i in range(0, len(q), 20_000):
                     x, y = q[i : i + 20_000], r[i : i + 20_000]
-                    best.add(x, np.einsum("ij,ij->i", unit[x], other["unit"][y]), int(numbers[c]), y)
-        needed = stop * 2 * np.maximum(0, 1 - best.worst())
+                    near = np.einsum("ij,ij->i", unit[x], other["unit"][y]) >= best.cos[x, -1] - error
+                    x, y = x[near], y[near]
+                    best.add(x, _cosines(home, x, other, y), other["least"][y], int(numbers[c]), y)
+        needed = (stop * 2 * np.maximum(0, 1 - best.worst())).astype(np.float32)  # as precise as ``outer``, which may be set to it
         open_ = open_[(needed[open_] > outer[open_]) & (outer[open_] < everything)]
         inner[open_] = outer[open_]
         outer[open_] = np.minimum(needed[open_], outer[open_] * RADIUS_GROWTH)
@@ -366,7 +384,7 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
 
 
 def _ranked(cells: _Cells, s: int, cell: int, best: _Best, k: int, crowded: bool) -> Iterator[pa.RecordBatch]:
-    """The exact ranking of the best points, with copies, for all keys of each query."""
+    """The ranking of the best points, with copies, for all keys of each query."""
     for a in range(0, len(best.row), 1024):
         yield _ranked_part(cells, s, cell, np.arange(a, min(a + 1024, len(best.row))), best, k, crowded)
 
@@ -375,24 +393,20 @@ def _ranked_part(cells: _Cells, s: int, cell: int, at: np.ndarray, best: _Best,
     home = cells.get(s, cell)
     q, j = np.nonzero(best.row[at] >= 0)
     row, from_cell = best.row[at][q, j], best.cell[at][q, j]
-    raw = np.empty((len(q), home["raw"].shape[1]), np.float64)
     n_keys = np.empty(len(q), np.int64)
     first = np.empty(len(q), np.int64)
     pools = []
     base = 0
     for c in np.unique(from_cell):
         other, i = cells.get(s, int(c)), np.flatnonzero(from_cell == c)
-        raw[i] = other["raw"][row[i]]
         n_keys[i] = other["key_counts"][row[i]]
         first[i] = other["key_ends"][row[i]] + base
         pools.append(other["keys"])
         base += len(other["keys"])
     pool = np.concatenate(pools)
-    own = home["raw"][at].astype(np.float64)
-    cos = np.einsum("ij,ij->i", own[q], raw) / (np.linalg.norm(own, axis=1)[q] * np.linalg.norm(raw, axis=1))
     entry = np.repeat(np.arange(len(q)), n_keys)
     key = pool[first[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n_keys) - n_keys, n_keys)]
-    sim, who = np.round(cos, 9)[entry], q[entry]
+    sim, who = best.cos[at][q, j][entry], q[entry]
     order = np.lexsort((key, -sim, who))
     key, sim, who = key[order], sim[order], who[order]
     place = np.arange(len(who)) - np.searchsorted(who, who)

@@ -54,6 +54,15 @@ def test_copies_ties_and_dirt(spark):
     assert run(spark, rows) == {k: v for k, v in brute(rows, 10).items() if v}
 
 
+def test_rescaled_copies_tie_by_key(spark):
+    r = np.random.default_rng(5)
+    v = r.standard_normal(8)
+    keys = r.permutation(np.arange(1000, 1050)).tolist()  # more points of one direction than a query keeps
+    rows = make(60, 1) + [(key, "a", (v * scale).astype(np.float32).tolist()) for key, scale in zip(keys, r.uniform(0.5, 2, 50))]
+    assert len({tuple(x[2]) for x in rows}) == len(rows)
+    assert run(spark, rows) == brute(rows, 10)
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
