@@ -10,8 +10,13 @@ from chronolex.functions import vectors as V
 
 def words_by_period(embeddings: DataFrame) -> DataFrame:
     """Labelled vectors as periods of ten years and words w1, w2, ... by key."""
+    return keyed_words(embeddings).drop("vec_id")
+
+
+def keyed_words(embeddings: DataFrame) -> DataFrame:
+    """``words_by_period`` with the key of each vector."""
     n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return embeddings.select((F.lit(1900) + 10 * F.col("label")).cast("int").alias("period"), F.concat(F.lit("w"), n.cast("string")).alias("word"), F.col("embedding").alias("vec"))
+    return embeddings.select("vec_id", (F.lit(1900) + 10 * F.col("label")).cast("int").alias("period"), F.concat(F.lit("w"), n.cast("string")).alias("word"), F.col("embedding").alias("vec"))
 
 
 def pick(vectors: DataFrame, words: list[str]) -> DataFrame:
@@ -44,7 +49,12 @@ def drift(vectors: DataFrame, words: list[str]) -> DataFrame:
 
 def knn(vectors: DataFrame, words: list[str], k: int) -> DataFrame:
     """The k nearest words of each query word in each period; a zero vector has none."""
-    q = pick(vectors, words).select("period", F.col("word").alias("query"), F.col("vec").alias("qv"))
+    return nearest(vectors, pick(vectors, words), k)
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``knn`` of the rows ``asked(period, word, vec)``."""
+    q = asked.select("period", F.col("word").alias("query"), F.col("vec").alias("qv"))
     sim = vectors.join(q, "period").where("word != query").select("period", "query", "word", F.round(V.cosine_similarity(F.col("vec"), F.col("qv")), 9).alias("similarity"), "vec", (V.norm(F.col("qv")) > 0).alias("ok"))
     n = F.row_number().over(Window.partitionBy("period", "query").orderBy(F.desc("similarity"), "word"))
     return sim.where("ok").drop("ok").withColumn("place", n).where(F.col("place") <= k)

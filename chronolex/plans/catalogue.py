@@ -410,8 +410,56 @@ def neighborhood_coherence(spark, d):
 
 @query(f"WITH {_VEC}, {_KNN} SELECT query, word AS term, count(*)::BIGINT AS periods, min(place) AS best_place, round(avg(similarity), 6) AS mean_similarity FROM nn WHERE word IN ('w20', 'w21', 'w22', 'w23', 'w24', 'w25', 'w26', 'w27', 'w28', 'w29') GROUP BY ALL")
 def terms_in_topk_neighbors(spark, d):
+    return _terms(_knn(spark, d))
+
+
+def _terms(neighbours):
     terms = [f"w{i}" for i in range(20, 30)]
-    return _knn(spark, d).where(F.col("word").isin(terms)).groupBy("query", F.col("word").alias("term")).agg(F.count("*").alias("periods"), F.min("place").alias("best_place"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
+    return neighbours.where(F.col("word").isin(terms)).groupBy("query", F.col("word").alias("term")).agg(F.count("*").alias("periods"), F.min("place").alias("best_place"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
+
+
+# The same searches for every row whose id is divisible by ASKED_EVERY, against all rows of its period.
+
+ASKED_EVERY = 20
+
+
+def _asked(spark, d):
+    return temporal.keyed_words(table(spark, d, "embeddings")).where(F.col("vec_id") % ASKED_EVERY == 0).drop("vec_id")
+
+
+def _asked_knn(spark, d, k):
+    return temporal.nearest(_vec(spark, d), _asked(spark, d), k)
+
+
+def _asked_words_knn(spark, d, k):
+    """The words of the asked rows in all their periods, so that consecutive periods can be compared."""
+    v = _vec(spark, d)
+    return temporal.nearest(v, v.join(_asked(spark, d).select("word").distinct(), "word", "left_semi"), k)
+
+
+@query()
+def knn_topk_whole(spark, d):
+    return _asked_knn(spark, d, 10).select("period", "query", "word", "similarity", "place")
+
+
+@query()
+def neighbor_turnover_whole(spark, d):
+    return temporal.turnover(_asked_words_knn(spark, d, 10))
+
+
+@query()
+def centroid_displacement_whole(spark, d):
+    return temporal.displacement(_asked_words_knn(spark, d, 10))
+
+
+@query()
+def neighborhood_coherence_whole(spark, d):
+    return temporal.coherence(_asked_knn(spark, d, 10))
+
+
+@query()
+def terms_in_topk_neighbors_whole(spark, d):
+    return _terms(_asked_knn(spark, d, 10))
 
 
 _CLUSTER = f"""WITH {_VEC}, m AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{w}')" for c, ws in CLUSTERS.items() for w in ws)}) x(cluster, member)), t AS (SELECT period, vec AS tv FROM vec WHERE word = 'w1'),

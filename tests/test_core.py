@@ -117,6 +117,38 @@ def test_neighbours_bridge_gaps(spark):
     assert temporal.turnover(temporal.knn(v, ["x"], 1)).select("entered", "exited", "stayed").collect() == [("z", "y", 0)]
 
 
+@pytest.fixture(scope="module")
+def spaces(tmp_path_factory, spark):
+    """Three periods of 60 words as a table of embeddings, and as arrays by period and word."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.standard_normal(64)], i % 3) for i in range(180)]
+    d = str(tmp_path_factory.mktemp("spaces"))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    return d, {(1900 + 10 * p, f"w{i // 3 + 1}"): np.array(v, np.float32).astype(float) for i, v, p in rows}
+
+
+def nearest_words(vectors, period, query, k):
+    import numpy as np
+
+    v = {w: x / np.linalg.norm(x) for (p, w), x in vectors.items() if p == period}
+    return [w for _, w in sorted((-round(float(v[query] @ x), 9), w) for w, x in v.items() if w != query)[:k]]
+
+
+def test_every_asked_row_is_searched(spark, spaces):
+    d, vectors = spaces
+    asked = {(1900 + 10 * (i % 3), f"w{i // 3 + 1}") for i in range(0, 180, 20)}
+    got = {}
+    for r in catalogue.QUERIES["knn_topk_whole"](spark, d).orderBy("place").collect():
+        got.setdefault((r.period, r["query"]), []).append(r.word)
+    assert got == {x: nearest_words(vectors, *x, 10) for x in asked}
+    want = {(w, p) for _, w in asked for p in (1910, 1920)}
+    for name in ("neighbor_turnover_whole", "centroid_displacement_whole"):
+        assert {(r["query"], r.period) for r in catalogue.QUERIES[name](spark, d).collect()} == want
+    assert {(r.period, r["query"]) for r in catalogue.QUERIES["neighborhood_coherence_whole"](spark, d).collect()} == asked
+
+
 def test_procrustes_undoes_a_rotation(spark):
     import numpy as np
 
