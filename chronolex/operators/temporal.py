@@ -123,11 +123,30 @@ def axis(vectors: DataFrame, agency: list[str], constraint: list[str]) -> DataFr
     """One row ``axis``: the unit vector from the mean of one pole to the mean of the other, over all periods."""
     pole = F.when(F.col("word").isin(agency), 1).otherwise(0)
     rows = pick(vectors, [w for w in [*agency, *constraint] if (w in agency) != (w in constraint)]).withColumn("pole", pole)
-    parts = rows.select("pole", F.posexplode("vec").alias("i", "x")).groupBy("pole", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    d = parts.groupBy("i").agg(F.sum(F.when(F.col("pole") == 1, F.col("m")).otherwise(-F.col("m"))).alias("d"), F.count("*").alias("poles")).where("poles = 2")
-    whole = d.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("a"))
+    return _axes(rows.withColumn("trial", F.lit(""))).select("axis")
+
+
+def _axes(rows: DataFrame) -> DataFrame:
+    """``(trial, axis)`` of rows ``(trial, pole, vec)``; pole is 1 or 0."""
+    parts = rows.select("trial", "pole", F.posexplode("vec").alias("i", "x")).groupBy("trial", "pole", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    d = parts.groupBy("trial", "i").agg(F.sum(F.when(F.col("pole") == 1, F.col("m")).otherwise(-F.col("m"))).alias("d"), F.count("*").alias("poles")).where("poles = 2")
+    whole = d.groupBy("trial").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("a"))
     n = V.norm(F.col("a"))
-    return whole.where(n > 0).select(F.transform("a", lambda x: x / n).alias("axis"))
+    return whole.where(n > 0).select("trial", F.transform("a", lambda x: x / n).alias("axis"))
+
+
+def expanded_poles(vectors: DataFrame, trials: dict[str, tuple[list[str], list[str]]], period: int, k: int = 10) -> DataFrame:
+    """``(trial, pole, word)``: the seeds of each trial's two poles and their k nearest words in a period, without words of both."""
+    rows = [(t, pole, w) for t, (agency, constraint) in trials.items() for pole, ws in ((1, agency), (0, constraint)) for w in ws]
+    seeds = vectors.sparkSession.createDataFrame(rows, "trial string, pole int, seed string")
+    near = knn(vectors.where(F.col("period") == period), sorted({w for _, _, w in rows}), k).select(F.col("query").alias("seed"), "word")
+    words = seeds.select("trial", "pole", F.col("seed").alias("word")).unionByName(seeds.join(near, "seed").select("trial", "pole", "word"))
+    return words.groupBy("trial", "word").agg(F.min("pole").alias("pole"), F.max("pole").alias("most")).where("pole = most").select("trial", "pole", "word")
+
+
+def expanded_axes(vectors: DataFrame, trials: dict[str, tuple[list[str], list[str]]], period: int, k: int = 10) -> DataFrame:
+    """``(trial, axis)``: as ``axis``, of poles that are expanded in each trial."""
+    return _axes(vectors.join(expanded_poles(vectors, trials, period, k), "word"))
 
 
 def project(vectors: DataFrame, axis_row: DataFrame, words: list[str]) -> DataFrame:

@@ -553,9 +553,40 @@ def combined_timeline(spark, d):
     return u.groupBy("period").agg(F.max("source").alias("source"), F.round(F.max_by("similarity", "source"), 6).alias("similarity"))
 
 
+# The same projections on the axis of expanded poles.
+
+REFERENCE_PERIOD, EXPANSION_K = 1900, 10
+
+
+def _expanded_projection(spark, d):
+    v = _vec(spark, d)
+    ax = temporal.expanded_axes(v, {"": (POLE_A, POLE_B)}, REFERENCE_PERIOD, EXPANSION_K).select("axis")
+    return temporal.project(v, ax, PROJECTED).select(F.col("word").alias("series"), F.col("period").alias("x"), F.col("projection").alias("y"))
+
+
+@query()
+def semaxis_projection_expanded(spark, d):
+    return _expanded_projection(spark, d).withColumn("y", F.round("y", 6))
+
+
+@query()
+def semaxis_trend_expanded(spark, d):
+    return stats.trend(_expanded_projection(spark, d))
+
+
+@query()
+def zscore_vs_controls_expanded(spark, d):
+    return stats.against_controls(stats.trend(_expanded_projection(spark, d)), "series", "w1")
+
+
+@query()
+def changepoint_bic_expanded(spark, d):
+    return stats.change_point(_expanded_projection(spark, d)).withColumn("change_at", F.coalesce("change_at", F.lit(0)))
+
+
 @query()
 def permutation_trend(spark, d):
-    return stats.permutation_trend(_projection(spark, d))
+    return stats.permutation_trend(_expanded_projection(spark, d))
 
 
 @query()
@@ -577,15 +608,9 @@ def bootstrap_pair(spark, d):
 @query()
 def seed_sensitivity(spark, d):
     v = _vec(spark, d)
-    parts = []
-    for i in range(len(POLE_A)):
-        for j in range(len(POLE_B)):
-            ax = temporal.axis(v, POLE_A[:i] + POLE_A[i + 1 :], POLE_B[:j] + POLE_B[j + 1 :])
-            parts.append(temporal.project(v, ax, ["w1"]).select(F.lit(f"{i}-{j}").alias("trial"), F.col("period").alias("x"), F.col("projection").alias("y")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return stats.seed_sensitivity(out)
+    trials = {f"{i}-{j}": (POLE_A[:i] + POLE_A[i + 1 :], POLE_B[:j] + POLE_B[j + 1 :]) for i in range(len(POLE_A)) for j in range(len(POLE_B))}
+    axes = temporal.expanded_axes(v, trials, REFERENCE_PERIOD, EXPANSION_K)
+    return stats.seed_sensitivity(temporal.pick(v, ["w1"]).crossJoin(axes).select("trial", F.col("period").alias("x"), V.dot(F.col("vec"), F.col("axis")).alias("y")))
 
 
 @query()

@@ -149,6 +149,26 @@ def test_every_asked_row_is_searched(spark, spaces):
     assert {(r.period, r["query"]) for r in catalogue.QUERIES["neighborhood_coherence_whole"](spark, d).collect()} == asked
 
 
+def test_poles_are_expanded(spark, spaces):
+    import numpy as np
+
+    d, vectors = spaces
+
+    def axis(agency, constraint):
+        a, c = ({*p}.union(*(nearest_words(vectors, 1900, w, 10) for w in p)) for p in (agency, constraint))
+        up, down = (np.mean([v for (_, w), v in vectors.items() if w in p], axis=0) for p in (a - c, c - a))
+        return (up - down) / np.linalg.norm(up - down)
+
+    A, B = catalogue.POLE_A, catalogue.POLE_B
+    whole = axis(A, B)
+    got = {(r.x, r.series): r.y for r in catalogue.QUERIES["semaxis_projection_expanded"](spark, d).collect()}
+    assert got == {(p, w): pytest.approx(float(v @ whole), abs=2e-6) for (p, w), v in vectors.items() if w in catalogue.PROJECTED}
+    periods = (1900, 1910, 1920)
+    slopes = [np.polyfit(periods, [vectors[p, "w1"] @ axis([x for x in A if x != a], [x for x in B if x != b]) for p in periods], 1)[0] * 100 for a in A for b in B]
+    r = catalogue.QUERIES["seed_sensitivity"](spark, d).first()
+    assert r.trials == 16 and r["mean"] == pytest.approx(np.mean(slopes)) and r["std"] == pytest.approx(np.std(slopes))
+
+
 def test_procrustes_undoes_a_rotation(spark):
     import numpy as np
 
