@@ -421,6 +421,8 @@ def _terms(neighbours):
 # The same searches for every row whose id is divisible by ASKED_EVERY, against all rows of its period.
 
 ASKED_EVERY = 20
+#: Neighbours in a neighbourhood; knn_topk_whole lists 10.
+NEIGHBOURHOOD = 50
 
 
 def _asked(spark, d):
@@ -444,22 +446,22 @@ def knn_topk_whole(spark, d):
 
 @query()
 def neighbor_turnover_whole(spark, d):
-    return temporal.turnover(_asked_words_knn(spark, d, 10))
+    return temporal.turnover(_asked_words_knn(spark, d, NEIGHBOURHOOD))
 
 
 @query()
 def centroid_displacement_whole(spark, d):
-    return temporal.displacement(_asked_words_knn(spark, d, 10))
+    return temporal.displacement(_asked_words_knn(spark, d, NEIGHBOURHOOD))
 
 
 @query()
 def neighborhood_coherence_whole(spark, d):
-    return temporal.coherence(_asked_knn(spark, d, 10))
+    return temporal.coherence(_asked_knn(spark, d, NEIGHBOURHOOD))
 
 
 @query()
 def terms_in_topk_neighbors_whole(spark, d):
-    return _terms(_asked_knn(spark, d, 10))
+    return _terms(_asked_knn(spark, d, NEIGHBOURHOOD))
 
 
 _CLUSTER = f"""WITH {_VEC}, m AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{w}')" for c, ws in CLUSTERS.items() for w in ws)}) x(cluster, member)), t AS (SELECT period, vec AS tv FROM vec WHERE word = 'w1'),

@@ -149,6 +149,23 @@ def test_every_asked_row_is_searched(spark, spaces):
     assert {(r.period, r["query"]) for r in catalogue.QUERIES["neighborhood_coherence_whole"](spark, d).collect()} == asked
 
 
+def test_neighbourhoods_hold_fifty(spark, spaces):
+    import numpy as np
+
+    d, vectors = spaces
+    unit = {x: v / np.linalg.norm(v) for x, v in vectors.items()}
+    near = {(p, w): nearest_words(vectors, p, w, 50) for p, w in vectors}
+    for r in catalogue.QUERIES["neighborhood_coherence_whole"](spark, d).collect():
+        m = np.array([unit[r.period, w] for w in near[r.period, r["query"]][:30]])
+        assert r.coherence == pytest.approx(float((m @ m.T)[np.triu_indices(30, 1)].mean()), abs=2e-6)
+    for r in catalogue.QUERIES["neighbor_turnover_whole"](spark, d).collect():
+        now, was = ({*near[p, r["query"]]} for p in (r.period, r.period - 10))
+        assert (r.entered.split(), r.exited.split(), r.stayed) == (sorted(now - was), sorted(was - now), len(now & was))
+    for r in catalogue.QUERIES["centroid_displacement_whole"](spark, d).collect():
+        a, b = (np.mean([vectors[p, w] for w in near[p, r["query"]]], axis=0) for p in (r.period, r.period - 10))
+        assert r.displacement == pytest.approx(float(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b)), abs=2e-6)
+
+
 def test_poles_are_expanded(spark, spaces):
     import numpy as np
 
