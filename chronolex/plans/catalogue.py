@@ -626,7 +626,7 @@ def word2vec_train(spark, d):
     from pyspark.ml.feature import Word2Vec
 
     docs = table(spark, d, "documents").where("text is not null").select(X.words(F.col("text")).alias("words")).where(F.size("words") > 1)
-    return Word2Vec(vectorSize=32, windowSize=5, minCount=20, maxIter=1, seed=7, inputCol="words", outputCol="v").fit(docs).getVectors().select("word")
+    return Word2Vec(vectorSize=300, windowSize=5, minCount=100, maxIter=1, seed=7, inputCol="words", outputCol="v").fit(docs).getVectors().select("word", "vector")
 
 
 # ---------------------------------------------------------------- yearly series

@@ -186,6 +186,13 @@ def test_poles_are_expanded(spark, spaces):
     assert r.trials == 16 and r["mean"] == pytest.approx(np.mean(slopes)) and r["std"] == pytest.approx(np.std(slopes))
 
 
+def test_word2vec_returns_its_vectors(spark, tmp_path):
+    texts = ["often seldom often word"] * 50 + ["often word word"] * 25
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.vector for r in catalogue.QUERIES["word2vec_train"](spark, str(tmp_path)).collect()}
+    assert {w: v.size for w, v in got.items()} == {"often": 300, "word": 300} and all(v.toArray().any() for v in got.values())
+
+
 def test_procrustes_undoes_a_rotation(spark):
     import numpy as np
 
