@@ -123,3 +123,34 @@ def procrustes(source: DataFrame, target: DataFrame, dim: int) -> DataFrame:
                 yield pdf.assign(vec=list(np.stack(pdf["vec"]).astype(float) @ turn))
 
     return source.select("word", "vec").mapInPandas(apply, "word string, vec array<double>")
+
+
+def procrustes_by_period(vectors: DataFrame, dim: int) -> DataFrame:
+    """``vectors(period, word, vec)`` with every period rotated onto the first by the words they share.
+
+    The driver holds a dim x dim matrix a period; a period that shares no word stays as it is.
+    """
+    first = vectors.agg(F.min("period").alias("begin"))
+    target = vectors.join(F.broadcast(first), F.col("period") == F.col("begin")).select("word", F.col("vec").alias("other"))
+    both = vectors.join(target, "word").select("period", "vec", "other")
+
+    def cross(batches):
+        for pdf in batches:
+            for period, g in pdf.groupby("period"):
+                yield pd.DataFrame({"period": [period], "m": [(np.stack(g["vec"]).astype(float).T @ np.stack(g["other"]).astype(float)).ravel().tolist()]})
+
+    parts = both.mapInPandas(cross, "period int, m array<double>").select("period", F.posexplode("m").alias("i", "x")).groupBy("period", "i").agg(F.sum("x").alias("x"))
+    sums: dict = {}
+    for r in parts.collect():
+        sums.setdefault(r.period, np.zeros(dim * dim))[r.i] = r.x
+    turns = {}
+    for period, m in sums.items():
+        u, _, vt = np.linalg.svd(m.reshape(dim, dim))
+        turns[period] = u @ vt
+
+    def apply(batches):
+        for pdf in batches:
+            for period, g in pdf.groupby("period"):
+                yield g.assign(vec=list(np.stack(g["vec"]).astype(float) @ turns.get(period, np.eye(dim))))
+
+    return vectors.select("period", "word", "vec").mapInPandas(apply, "period int, word string, vec array<double>")

@@ -617,8 +617,7 @@ def seed_sensitivity(spark, d):
 
 @query()
 def procrustes_align(spark, d):
-    v = _vec(spark, d)
-    return stats.procrustes(v.where("period = 1900").select("word", "vec"), v.where("period = 1910").select("word", "vec"), 64)
+    return stats.procrustes_by_period(_vec(spark, d), 64)
 
 
 @query()

@@ -203,6 +203,18 @@ def test_procrustes_undoes_a_rotation(spark):
     assert np.allclose([got[f"w{i}"] for i in range(20)], x @ q)
 
 
+def test_procrustes_aligns_every_period(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = r.standard_normal((80, 64))
+    turned = [x, *(x @ np.linalg.qr(r.standard_normal((64, 64)))[0] for _ in range(2))]
+    rows = [(3 * i + p, [float(t) for t in turned[p][i]], p) for i in range(80) for p in range(3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(g.period, g.word): g.vec for g in catalogue.QUERIES["procrustes_align"](spark, str(tmp_path)).collect()}
+    assert len(got) == 240 and all(np.allclose(got[p, f"w{i + 1}"], x[i], atol=1e-4) for p in (1900, 1910, 1920) for i in range(80))
+
+
 def test_xml_readers(spark, tmp_path):
     (tmp_path / "S3V0178P0.xml").write_text("<r><p><member>Mr. A,</member><membercontribution>twenty characters <i>at</i> least</membercontribution></p><p>short</p></r>")
     got = readers.read_archive_xml(spark, f"{tmp_path}/S3*.xml").first()
