@@ -16,6 +16,15 @@ most ``TRAINING_TEXTS`` texts, chosen by hash; the statistics and the classifica
 cover every text whole.  Statistics and weights are hashed into tables of ``BUCKETS``
 entries, so what is broadcast has a fixed size.
 
+Tokens are told apart by at most ``TOKEN_CHARS`` characters: the last of the token before
+a candidate (looked for among the ``TOKEN_REACH`` characters before it) and the first of
+the token after it.  A longer token counts as the one it is cut to; it is never skipped.
+The classifier is fitted on at most ``TRAINING_EXAMPLES`` different examples, drawn by
+hash, an example that occurs often weighing as ``MOST_WEIGHT`` at most.
+
+A line is scanned once, whatever its length and however many of its brackets or
+quotations stay open; these then enclose nothing.
+
 Defined results: null and blank texts have no sentence; the last sentence ends with the
 last character that is not white space; lengths count code points; copies of a row are
 answered alike.
@@ -38,11 +47,16 @@ from chronolex.runtime import spread
 BUCKETS = 1 << 18
 #: Texts on which the classifier is fitted, at most.
 TRAINING_TEXTS = 30_000
+#: Different examples on which the classifier is fitted, at most, and the most one may weigh.
+TRAINING_EXAMPLES = 1_000_000
+MOST_WEIGHT = 20
+#: Characters by which tokens are told apart, and how far back a token is looked for.
+TOKEN_CHARS, TOKEN_REACH = 16, 24
 #: Occurrences from which a token's statistics are trusted.
 SEEN = 15
 
 # Marks that end sentences, and pairs of marks that enclose text.
-ENDERS = ".!?…‥。！？｡．।॥؟۔։።;;"
+ENDERS = ".!?…‥。！？｡．।॥؟۔։።;\u037e"
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "［": "］", "【": "】", "‘": "’", "„": "“", "‹": "›", "{": "}"}
 CLOSERS = "”»」』)]）］】’›}\""
 _OPENERS = "".join(PAIRS) + '"¿¡'
@@ -52,7 +66,10 @@ _RIGHT = re.compile(r"\s*([^\W\d_]+|\d+|\S)?")
 _DIGITS = str.maketrans("0123456789", "9999999999")
 _LINE = re.compile(r"[^\n\r  ]+")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
-_LETTER = re.compile(r"[^\W\d_](?=[\W\d_]*$)")
+_SEMICOLONS = {";", "\u037e"}
+_ENCLOSING = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
+_OPENED_BY = {c: tuple(o for o in (*PAIRS, '"') if PAIRS.get(o, '"') == c) for c in (*PAIRS.values(), '"')} | {"”": ("“", "„")}
+_ENDS_QUOTE = ENDERS + ",”"
 
 
 def _wide(ch: str) -> bool:
@@ -63,8 +80,8 @@ def _wide(ch: str) -> bool:
 def _left_token(text: str, end: int) -> str:
     if end and _wide(text[end - 1]):
         return text[max(0, end - 2) : end]
-    m = _LEFT.search(text, max(0, end - 24), end)
-    token = m.group().lstrip(_OPENERS).translate(_DIGITS)[-16:] if m else ""
+    m = _LEFT.search(text, max(0, end - TOKEN_REACH), end)
+    token = m.group().lstrip(_OPENERS).translate(_DIGITS)[-TOKEN_CHARS:] if m else ""
     head, dot, tail = token.rpartition(".")
     # a sentence that begins without a space after the last: "pension.Mr"
     return tail if dot and len(tail) > 1 and tail[0].isupper() and head[-2:].isalpha() and head[-2:].islower() else token
@@ -77,7 +94,7 @@ def _right_token(text: str, start: int, stop: int) -> tuple[str, int]:
     at = m.start(1) if token else stop
     if token and _wide(token[0]):
         return token[:2], at
-    return "9" if token.isdecimal() else token[:16], at
+    return "9" if token.isdecimal() else token[:TOKEN_CHARS], at
 
 
 class Candidate:
@@ -87,14 +104,55 @@ class Candidate:
         self.end, self.kind, self.left, self.right, self.gap, self.first, self.last = end, kind, left, right, gap, first, last
 
 
-def _marks(text: str, a: int, b: int, skip: set[int]) -> tuple[list, list[int]]:
-    """(start, end, kind) of the candidates of a line, and openers that are never closed."""
-    out = []
-    open_: list[tuple[str, int, bool]] = []
+def _brackets(text: str, a: int, b: int) -> dict[int, int]:
+    """Which opener each closer of a line closes; openers that are never closed are in no pair.
+
+    One pass: what an opener encloses does not depend on openers that stay open.
+    """
+    pairs: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}  # how many openers of each kind are on the stack
+    last_apostrophe = text.rfind("’", a, b)
+
+    def close(kinds: tuple[str, ...], at: int) -> bool:
+        if not any(waiting.get(k) for k in kinds):
+            return False
+        while True:  # every opener is taken off once
+            ch, begin = stack.pop()
+            waiting[ch] -= 1
+            if ch in kinds:
+                pairs[at] = begin
+                return True
+
+    for m in _ENCLOSING.finditer(text, a, b):
+        s, ch = m.start(), m.group()
+        if ch == "’":
+            done = s > a and text[s - 1] in _ENDS_QUOTE
+            inner = s + 1 < b and text[s + 1].isalpha()
+            if not inner and (done or last_apostrophe <= s):
+                close(("‘",), s)
+            continue
+        if ch == "‘" and s > a and text[s - 1].isalnum():
+            continue
+        if close(_OPENED_BY.get(ch, ()), s):
+            continue
+        if ch in PAIRS or ch == '"':
+            stack.append((ch, s))
+            waiting[ch] = waiting.get(ch, 0) + 1
+    return pairs
+
+
+def _marks(text: str, a: int, b: int) -> list:
+    """(start, end, kind) of the candidates of a line, in one pass over it."""
+    out: list = []
+    closes = _brackets(text, a, b)
+    opens = set(closes.values())
+    open_: list[tuple[int, bool]] = []
     content_from = a
-    begun_alone = True  # nothing but finished sentences so far
+    letters_to, letter = a, -1  # the last letter of what was looked through so far
 
     def alone(at: int) -> bool:
+        """Nothing but finished sentences so far."""
         k = at - 1
         while k >= a and text[k].isspace():
             k -= 1
@@ -106,9 +164,12 @@ def _marks(text: str, a: int, b: int, skip: set[int]) -> tuple[list, list[int]]:
         if ch in ENDERS:
             if open_:
                 continue
-            if set(m.group()) <= {";", ";"}:
-                last = _LETTER.search(text, a, s)
-                if text[s] == ";" and not (last and _GREEK.match(last.group())):
+            if ch in _SEMICOLONS and set(m.group()) <= _SEMICOLONS:
+                for k in range(letters_to, s):
+                    if text[k].isalpha():
+                        letter = k
+                letters_to = s
+                if ch == ";" and not (letter >= a and _GREEK.match(text[letter])):
                     continue
             while e < b and text[e] in CLOSERS and text[e] not in '"’':
                 e += 1
@@ -117,40 +178,23 @@ def _marks(text: str, a: int, b: int, skip: set[int]) -> tuple[list, list[int]]:
         elif ch == " ":
             if not open_:
                 out.append((s, s, "thai"))
-        elif s in skip:
-            continue
-        else:
-            closes = None
-            if open_:
-                top = open_[-1][0]
-                if ch == '"':
-                    closes = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == '"'), None)
-                elif ch == "’":
-                    done = s > a and (text[s - 1] in ENDERS or text[s - 1] in ",”")
-                    inner = e < b and text[e].isalpha()
-                    if not inner and (done or "’" not in text[e:b]):
-                        closes = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == "‘"), None)
-                elif PAIRS.get(top) == ch:
-                    closes = len(open_) - 1
-                else:
-                    closes = next((i for i in range(len(open_) - 1, -1, -1) if PAIRS.get(open_[i][0]) == ch or (ch == "”" and open_[i][0] == "„")), None)
-            if closes is not None:
-                own = open_[closes][2]
-                del open_[closes:]
-                k = s - 1
-                while k > a and text[k].isspace():
-                    k -= 1
-                if not open_ and text[k] in ENDERS:
-                    out.append((s, e, "alone" if own else "within"))
-                    if own:
-                        content_from = e
-                elif not open_ and own and ch in ")]）］】":
-                    out.append((s, e, "aside"))
-            elif ch in PAIRS or ch == '"':
-                if ch == "‘" and s > a and text[s - 1].isalnum():
-                    continue
-                open_.append((ch, s, alone(s)))
-    return out, [p for _, p, _ in open_]
+        elif s in closes:
+            begin = closes[s]
+            while open_[-1][0] > begin:
+                open_.pop()
+            own = open_.pop()[1]
+            k = s - 1
+            while k > a and text[k].isspace():
+                k -= 1
+            if not open_ and text[k] in ENDERS:
+                out.append((s, e, "alone" if own else "within"))
+                if own:
+                    content_from = e
+            elif not open_ and own and ch in ")]）］】":
+                out.append((s, e, "aside"))
+        elif s in opens:
+            open_.append((s, alone(s)))
+    return out
 
 
 def candidates(text: str) -> Iterator[Candidate]:
@@ -159,12 +203,7 @@ def candidates(text: str) -> Iterator[Candidate]:
     for i, (a, b) in enumerate(lines):
         while b > a and text[b - 1].isspace():
             b -= 1
-        skip: set[int] = set()
-        while True:
-            marks, dangling = _marks(text, a, b, skip)
-            if not dangling:
-                break
-            skip.add(dangling[-1])
+        marks = _marks(text, a, b)
         begin = a
         while begin < b and text[begin].isspace():
             begin += 1
@@ -172,18 +211,23 @@ def candidates(text: str) -> Iterator[Candidate]:
             left = _thai_tail(text, s) if kind == "thai" else _left_token(text, s) if kind not in ("alone", "within", "aside") else ""
             if e >= b:
                 nxt = _right_token(text, *lines[i + 1])[0] if i + 1 < len(lines) else None
-                yield Candidate(b, kind, left, nxt, True, text[begin:s] == left, True)
+                yield Candidate(b, kind, left, nxt, True, _is(text, begin, s, left), True)
             else:
                 right, at = _right_token(text, e, b)
-                yield Candidate(e, kind, left, right, at > e, text[begin:s] == left, False)
-                if kind != "thai" and at > e:
-                    begin = at if s - begin < 24 and text[begin:s] == left else begin
+                first = _is(text, begin, s, left)
+                yield Candidate(e, kind, left, right, at > e, first, False)
+                if kind != "thai" and at > e and first:
+                    begin = at
         if not marks or marks[-1][1] < b:
             thai = "ก" <= text[b - 1] <= "๛"
             nxt = _right_token(text, *lines[i + 1])[0] if i + 1 < len(lines) else None
             yield Candidate(b, "thai" if thai else "line", _thai_tail(text, b) if thai else "", nxt, True, False, True)
 
 
+def _is(text: str, a: int, b: int, token: str) -> bool:
+    return b - a == len(token) and text.startswith(token, a)
+
+
 def _thai_tail(text: str, end: int) -> str:
     return text[max(0, end - 4) : end]
 
@@ -313,13 +357,14 @@ def count_tokens_at_edges(texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray]
     return seen, edge
 
 
-def fit(rows: list[list[int]], labels: list[int], *, rounds: int = 150, penalty: float = 1e-5) -> np.ndarray:
-    """Maximum-entropy weights of hashed binary features, by AdaGrad over distinct rows."""
+def fit(rows: list[list[int]], labels: list[int], counts: list[int] | None = None, *, rounds: int = 150, penalty: float = 1e-5) -> np.ndarray:
+    """Maximum-entropy weights of hashed binary features, by AdaGrad; ``counts`` says how often each row stands."""
     weights = np.zeros(BUCKETS)
-    if not rows:
+    if not len(rows):
         return weights
-    table, index = np.unique(np.array([[y, *x] for x, y in zip(rows, labels)], np.int64), axis=0, return_counts=True)
-    y, x, n = table[:, 0], table[:, 1:], index.astype(float)
+    table = np.column_stack([np.asarray(labels, np.int64), np.array(rows, np.int64)])
+    table, at = np.unique(table, axis=0, return_inverse=True)
+    y, x, n = table[:, 0], table[:, 1:], np.bincount(at.ravel(), np.ones(len(at)) if counts is None else np.asarray(counts, float))
     # both answers weigh the same in all
     n *= np.where(y == 1, 0.5 / max(1e-9, n[y == 1].sum()), 0.5 / max(1e-9, n[y == 0].sum()))
     squares = np.full(BUCKETS, 1e-12)
@@ -362,11 +407,22 @@ def train(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     texts = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, edge = count_tokens_at_edges(t for batch in batches for t in batch.column(0).to_pylist())
+        n = 0
+
+        def whole() -> Iterator[str]:
+            nonlocal n
+            for batch in batches:
+                n += batch.num_rows
+                yield from batch.column(0).to_pylist()
+
+        seen, edge = count_tokens_at_edges(whole())
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), pa.array(edge[at]), pa.array(np.zeros(len(at), np.int64))], names=["i", "seen", "edge", "n"])
+        # the last line, of bucket -1, counts the texts
+        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), pa.array([*seen[at], n], pa.int64()), pa.array([*edge[at], 0], pa.int64())], names=["i", "seen", "edge"])
 
-    table = texts.mapInArrow(count, "i long, seen long, edge long, n long").groupBy("i").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge")).toPandas()  # at most BUCKETS rows
+    table = texts.mapInArrow(count, "i long, seen long, edge long").groupBy("i").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge")).toPandas()  # at most BUCKETS + 1 rows
+    n = int(table.loc[table["i"] < 0, "seen"].sum())
+    table = table[table["i"] >= 0]
     seen, edge = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     seen[table["i"]], edge[table["i"]] = table["seen"], table["edge"]
     both = df.sparkSession.sparkContext.broadcast((seen, edge))
@@ -383,14 +439,12 @@ def train(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(labels, pa.int32())], names=["x", "y"])
 
-    n = texts.count()
     share = min(1.0, TRAINING_TEXTS / max(1, n))
     sample = df.where(F.col(text).isNotNull() & (F.shiftrightunsigned(F.xxhash64(text), 33) < int(share * 2**31))).select(F.col(text).alias("t"))
-    got = spread(sample).mapInArrow(examples, "x array<int>, y int").groupBy("x", "y").count().toPandas()
-    order = sorted(range(len(got)), key=lambda i: (list(got["x"][i]), got["y"][i]))
-    rows = [list(got["x"][i]) for i in order for _ in range(min(20, int(got["count"][i])))]
-    labels = [int(got["y"][i]) for i in order for _ in range(min(20, int(got["count"][i])))]
-    return seen, edge, fit(rows, labels).astype(np.float32)
+    drawn = spread(sample).mapInArrow(examples, "x array<int>, y int").groupBy("x", "y").count()
+    got = drawn.orderBy(F.xxhash64("x", "y"), "x", "y").limit(TRAINING_EXAMPLES).toPandas()
+    weights = fit(got["x"].tolist(), got["y"].tolist(), got["count"].clip(upper=MOST_WEIGHT).tolist())
+    return seen, edge, weights.astype(np.float32)
 
 
 def split_sentences(df: DataFrame, key: str = "row_id", text: str = "speech") -> DataFrame:

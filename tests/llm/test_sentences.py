@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -67,6 +68,19 @@ def test_forms(model, text, ends):
         assert got == ends
 
 
+@pytest.mark.parametrize("line", ["(" * 100_000, "‘ " * 50_000, "a ‘b’s " * 15_000, "; " * 50_000, "([“" * 30_000 + "]" * 10_000, "a. " * 33_000, '"' * 100_001, " ‘x" * 33_000 + "’"])
+def test_long_lines_take_one_pass(line):
+    began = time.process_time()
+    marks = list(S.candidates(line))
+    assert time.process_time() - began < 2 and marks[-1].end == len(line.rstrip())
+
+
+def test_open_brackets_enclose_nothing():
+    assert [c.end for c in S.candidates("He (said. “Yes. We go.")] == [9, 15, 22]
+    assert [c.end for c in S.candidates("He (said. “Yes.” We go.) No.")] == [24, 28]
+    assert [c.kind for c in S.candidates("Γιατί\u037e Ναι.")] == ["\u037e", "."]
+
+
 def test_spark(spark):
     rows = [(1, "One ends here. Two ends here.", "x"), (1, "One ends here. Two ends here.", "y"), (2, None, "z"), (None, " ", "z"), (3, "Three.", None)]
     df = spark.createDataFrame(rows, "row_id long, speech string, sent_end string")
