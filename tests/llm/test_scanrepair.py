@@ -3,7 +3,7 @@ import pytest
 from chronolex.llm import scanrepair as S
 
 TEXT = "the committee explained that the public charter will be printed and circulated upon the proposed drain self-government modern bridge liberty secure the object this house under cl. no"
-WORDS = {w: (100, 100) for w in S._WORD.findall(TEXT)}
+WORDS = {w: 100 for w in S._WORD.findall(TEXT)}
 
 
 @pytest.fixture
@@ -16,14 +16,45 @@ def test_misread(repairer, read, word):
     assert repairer.lexicon.repair(read)[0] == word
 
 
-@pytest.mark.parametrize(("a", "b", "word"), [("pro", "posed", "proposed"), ("self", "government", "self-government"), ("Zee", "Land", "zee-land"), ("zee", "land", "zeeland"), ("pr0", "posed", "proposed")])
+@pytest.mark.parametrize(("a", "b", "word"), [("pro", "posed", "proposed"), ("self", "government", "self-government"), ("Zee", "Land", "zee-land"), ("zee", "land", "zeeland"), ("pr0", "posed", "proposed"), ("govem", "rnent", None)])
 def test_joined(repairer, a, b, word):
-    assert repairer.lexicon.join(a, b)[0] == word
+    found = dict(repairer.repair(f"upon the {a}-\n{b} charter").found)
+    assert found["joined"] == (word or "govemrnent")
 
 
-def test_merge_and_split(repairer):
-    assert repairer.lexicon.decode("publiccharter", False) == ("public", "charter")
-    assert repairer.lexicon.decode("qqq", False) is None
+@pytest.mark.parametrize(
+    ("read", "meant"),
+    [
+        ("thepublic charter", "the public charter"), ("thepublic", "the public"), ("upon th e drain", "upon the drain"), ("the pub lic charter", "the public charter"), ("the chart\ner upon", "the charter upon"),
+        ("tbe public charter", "the public charter"), ("the publ ic, charter", "the public, charter"), ("the pr0 posed drain", "the proposed drain"), ("upontlie drain", "upon the drain"), ("thepub-\nlic drain", "the public drain"),
+        ("the qqq zzz drain", "the qqq zzz drain"), ("a b c d", "a b c d"), ("the MMCCX drain 1864", "the MMCCX drain 1864"), ("the exp1ained", "the explained"), ("Modem bridge", "Modern bridge"),
+    ],
+)
+def test_joint_decoding(repairer, read, meant):
+    assert repairer.repair(read).text == meant
+
+
+def test_line_end_without_hyphen(repairer):
+    assert repairer.repair("upon the proposed char\nter upon").found == [("joined", "charter")]
+    assert repairer.repair("the public.\ncharter upon").found == []
+
+
+def test_prices_are_learnt():
+    p = S.learnt_prices({("l", "i"): 1000, ("cl", "d"): 200})
+    assert p["l", "i"] == S.CHEAPEST < p["cl", "d"] < p["f", "s"] == S.DEAREST
+    assert S.step_of("clrain", "drain") == ("cl", "d") and S.step_of("tbe", "the") == ("b", "h") and S.step_of("abc", "xyz") is None
+    assert S.learnt_prices({}) == {}
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_prices_do_not_depend_on_size(scale):
+    words = {w: n * scale for w, n in {"government": 19, "the": 1000, "house": 300}.items()}
+    assert S.Lexicon(words, 20_000 * scale).repair("Govemment") == ("government", True)
+
+
+def test_paragraphs_of_any_length():
+    lines = (["This line of the text is as wide as the column of it"] * 700 + ["and ends here."]) * 3
+    assert S.paragraph_breaks(lines, [False] * len(lines), 52) == {701, 1402}
 
 
 def test_page(repairer):
