@@ -36,6 +36,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -77,6 +78,7 @@ HYPHENS = "-¬\xad‐"
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 #: A word as it may have been read: letters, with digits and marks that stand for letters.
 _READ = re.compile(r"[^\W_][^\W_!|]*(?:[-'’!|][^\W_]+)*|(?<![\w.?!])!(?=[a-z])[^\W_]+")
+_HYPHEN_END = re.compile(rf"[{HYPHENS}] *\n")
 _CODES = "OlIi~'’"
 _NUM = rf"[0-9{_CODES}]{{1,5}}"
 # Shapes of a folio or sheet mark that fills a line by itself.
@@ -112,6 +114,7 @@ class Lexicon:
         self.memo: dict[tuple, Arc | None] = {}
         self.alone: dict[str, Arc] = {}
         self.known: dict[str, bool] = {}
+        self.heads: dict[str, bool] = {}
 
     def price(self, word: str) -> float | None:
         n = self.words.get(word)
@@ -119,8 +122,13 @@ class Lexicon:
 
     def _begins(self, head: str) -> bool:
         """Some word begins so."""
-        i = bisect_left(self.spelling, head)
-        return i < len(self.spelling) and self.spelling[i].startswith(head)
+        got = self.heads.get(head)
+        if got is None:
+            if len(self.heads) > 300_000:
+                self.heads.clear()
+            i = bisect_left(self.spelling, head)
+            got = self.heads[head] = i < len(self.spelling) and self.spelling[i].startswith(head)
+        return got
 
     def _spelled(self, s: str, i: int, bound: float, most: int) -> dict[int, tuple[float, str, int]]:
         """By its end: the cheapest word below ``bound`` that may be printed at ``i``, and its misreadings."""
@@ -473,40 +481,41 @@ class Repairer:
 
     def _edits(self, stream: str, breaks: set[int], found: dict) -> Iterator[tuple[int, int, str]]:
         """(begin, end, words) of every place of the stream that is read otherwise."""
-        doubtful = self.lexicon.doubtful
-        parts = [(m.start(), m.end(), m.group()) for m in _READ.finditer(stream)]
-        line = 0
-        marks = []  # what stands between a part and the next, if they may belong together
-        odd = []
-        for k, (_, end, read) in enumerate(parts):
-            mark = ""
-            if k + 1 < len(parts):
-                gap = stream[end : parts[k + 1][0]]
-                ends = gap.count("\n")
-                if gap.isspace():
-                    mark = " " if not ends else "\n" if ends == 1 and line + 1 not in breaks else ""
-                elif ends == 1 and gap[0] in HYPHENS and gap[1:].isspace():
-                    mark = "-"
-                line += ends
-            marks.append(mark)
-            if mark == "-" or doubtful(read):
-                odd.append(k)
+        doubtful, known = self.lexicon.doubtful, self.lexicon.known
+        parts = list(_READ.finditer(stream))
+        odd = [k for k, m in enumerate(parts) if known.get(m.group(), True) and doubtful(m.group())]
+        if hyphens := [m.start() for m in _HYPHEN_END.finditer(stream)]:
+            ends = [m.end() for m in parts]
+            halves = {bisect_left(ends, at) for at in hyphens}
+            odd = sorted({*odd, *(k for k in halves if k + 1 < len(parts) and ends[k] in hyphens)})
+
+        @cache
+        def mark(k: int) -> str:
+            """What stands between a part and the next, if they may belong together."""
+            if not 0 <= k < len(parts) - 1:
+                return ""
+            end = parts[k].end()
+            gap = stream[end : parts[k + 1].start()]
+            if gap.isspace():
+                return " " if "\n" not in gap else "\n" if stream.count("\n", 0, end) + 1 not in breaks else ""
+            return "-" if gap[:1] in HYPHENS and "\n" in gap and gap[1:].isspace() else ""
+
         done = 0
-        for at, k in enumerate(odd):
+        for k in odd:
             if k < done:
                 continue
-            a = k - 1 if k > done and marks[k - 1] else k
+            a = k - 1 if k > done and mark(k - 1) else k
             b = k
-            while marks[b] and (b in (k, a) or marks[b] == "-" or marks[b - 1] == "-" or doubtful(parts[b][2]) or doubtful(parts[b + 1][2])):
+            while mark(b) and (b == k or mark(b) == "-" or mark(b - 1) == "-" or doubtful(parts[b].group()) or doubtful(parts[b + 1].group())):
                 b += 1
             done = b + 1
-            reads = [p[2] for p in parts[a : b + 1]]
-            for i, j, arc in self.lexicon.decode(reads, "".join(marks[a:b])):
+            reads = [m.group() for m in parts[a : b + 1]]
+            for i, j, arc in self.lexicon.decode(reads, "".join(mark(x) for x in range(a, b))):
                 for w in arc.joined:
                     found["joined", w] = None
                 for w in arc.misread:
                     found["misread", w] = None
-                yield parts[a + i][0], parts[a + j - 1][1], _as_read(reads[i], arc.words)
+                yield parts[a + i].start(), parts[a + j - 1].end(), _as_read(reads[i], arc.words)
 
     @staticmethod
     def _width(lines: list[str]) -> int:
