@@ -2,9 +2,17 @@
 
 Method: confusables skeleton.  A text is decomposed, each character is replaced by the
 prototype of its look-alikes, and the result is decomposed again; characters without
-any appearance are dropped.  Texts of equal skeleton look the same.  Letter case,
-visible accents, digits, punctuation and line breaks stay in the skeleton; an ellipsis
-and a long s keep their own shape.
+any appearance are dropped.  Texts of equal skeleton look the same.
+
+The look-alikes of letters are the public confusables table of Unicode Technical
+Standard 39 (Unicode licence), as the ICU library that Spark 4 brings along holds it; it
+is read on the driver, once a process, and has some thousand entries whatever the data.
+That table also folds letter case, digits and marks that are real differences here
+(I, l, 1 and |; O and 0; m and rn), so its classes are taken for letters only, a capital
+in the class of l stands for I, and prototypes of several letters are left aside.
+Letter case, visible accents, digits, punctuation and line breaks thus stay in the
+skeleton; an ellipsis and a long s keep their own shape.  Forms that differ in width,
+font or breaking, ligatures and Roman numerals follow from their Unicode decomposition.
 
 Defined results: null texts and texts of nothing but white space and invisible
 characters belong to no class; rows with one and the same string are never a pair.
@@ -13,36 +21,52 @@ characters belong to no class; rows with one and the same string are never a pai
 from __future__ import annotations
 
 import hashlib
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.runtime import spread
+from chronolex.runtime import spread, written
 
-# Letters of other scripts whose printed shape is that of a Latin letter.
-LOOK_ALIKES = {
-    "a": "аαɑ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡ", "h": "һ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո",
-    "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚK", "M": "МΜ", "N": "Ν",
-    "O": "ОΟՕ", "P": "РΡ", "S": "ЅՏ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ", "Q": "Ԛ", "W": "Ԝ",
-    "-": "‐‑",
-}
 # Characters that leave no mark: soft hyphen, joiners, marks of direction, variation selectors.
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10)]
 #: Compatibility forms that look like their decomposition.
-SAME_SHAPE = ("<wide>", "<narrow>", "<noBreak>")
+SAME_SHAPE = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 #: Ligatures f-f to s-t, Roman numerals, and blanks of any width.
 SAME_SHAPE_RANGES = ((0xFB00, 0xFB07), (0x2160, 0x2180), (0x2000, 0x200B), (0x205F, 0x2060), (0x3000, 0x3001), (0xA0, 0xA1))
+# Look-alikes besides those of the public table.
+FURTHER = {"‐": "-", "‑": "-", "ӏ": "l", "Ԛ": "Q"}
+#: Letters that keep their own shape.
+OWN_SHAPE = "ſ"
 
 
 @cache
-def prototype(ch: str) -> str:
-    """The prototype of one character, decomposed, looked up and decomposed again."""
-    return "".join(_prototypes().get(ord(c), c) for c in _unfold(ch))
+def _public_skeletons() -> dict[str, str]:
+    """Each undecomposable letter whose public skeleton is another one, with that skeleton."""
+    try:
+        checker = SparkSession.active()._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except TypeError as e:  # a package that is not there cannot be called
+        raise RuntimeError("the ICU library is not on Spark's class path") from e
+    letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFD", c) == c]
+    # one call: a line end keeps its place in a skeleton
+    found = checker.getSkeleton("\n".join(letters)).split("\n")
+    return {c: s for c, s in zip(letters, found) if s != c}
+
+
+@cache
+def public_prototypes() -> dict[int, str]:
+    """Code points with their prototypes: the letters of the public table, what is invisible, and FURTHER."""
+    out = {c: "" for c in INVISIBLE}
+    for c, s in _public_skeletons().items():
+        s = {"l": "I" if c.isupper() else "l", "rn": "m"}.get(s, s)
+        base = [x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x)]
+        if c not in OWN_SHAPE and len(base) == 1 and base[0].isalpha():
+            out[ord(c)] = s
+    return out | {ord(c): s for c, s in FURTHER.items()}
 
 
 def _unfold(ch: str) -> str:
@@ -56,27 +80,23 @@ def _same_shape(ch: str, code: int) -> bool:
     return unicodedata.normalize("NFKC", ch) != ch and (kind in SAME_SHAPE or any(a <= code < b for a, b in SAME_SHAPE_RANGES))
 
 
-@cache
-def _prototypes() -> dict[int, str]:
-    return {ord(c): p for p, look in LOOK_ALIKES.items() for c in look} | {c: "" for c in INVISIBLE}
-
+class Prototypes(dict):
+    """A table for str.translate that fills itself; made from code points with their prototypes."""
 
-class _Table(dict):
-    """A table for str.translate that fills itself."""
+    def __init__(self, prototypes: dict[int, str]):
+        self.prototypes = prototypes
 
     def __missing__(self, code: int) -> str:
-        self[code] = prototype(chr(code))
+        """The prototype of one character, decomposed, looked up and decomposed again."""
+        self[code] = "".join(self.prototypes.get(ord(c), c) for c in _unfold(chr(code)))
         return self[code]
 
 
-_TABLE = _Table()
-
-
-def skeleton(text: str) -> str:
+def skeleton(text: str, table: Prototypes) -> str:
     """The skeleton of a text; two texts look the same when theirs are equal."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_TABLE))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table))
 
 
 def _digest(s: str) -> bytes:
@@ -84,20 +104,25 @@ def _digest(s: str) -> bytes:
 
 
 def skeleton_keys(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, look BINARY, stored BINARY)``: 128-bit digests of skeleton and text, without blank texts."""
+    """``(key, look BINARY, stored BINARY)``: 128-bit digests of skeleton and text, without blank texts.
+
+    The texts are read once: the digests are written, and every use reads those.
+    """
+    prototypes = df.sparkSession.sparkContext.broadcast(public_prototypes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Prototypes(prototypes.value)
         for batch in batches:
             keep, look, stored = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                if t is not None and (s := skeleton(t)).strip():
+                if t is not None and (s := skeleton(t, table)).strip():
                     keep.append(i)
                     look.append(_digest(s))
                     stored.append(_digest(t))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(look, pa.binary()), pa.array(stored, pa.binary())], names=["key", "look", "stored"])
 
     part = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    return part.mapInArrow(run, f"key {part.schema['key'].dataType.simpleString()}, look binary, stored binary")
+    return written(part.mapInArrow(run, f"key {part.schema['key'].dataType.simpleString()}, look binary, stored binary"))
 
 
 def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,13 +83,29 @@ def test_packing(spark, monkeypatch):
         ("a", "A", False), ("é", "e", False), ("1", "l", False), ("a\nb", "a b", False), ("a.", "a…", False), ("“a”", '"a"', False), ("ſo", "so", False), ("a b", "ab", False),
     ],
 )
-def test_skeleton(a, b, same):
-    assert (lookalike.skeleton(a) == lookalike.skeleton(b)) is same
+def test_skeleton(spark, a, b, same):
+    table = lookalike.Prototypes(lookalike.public_prototypes())
+    assert (lookalike.skeleton(a, table) == lookalike.skeleton(b, table)) is same
+
+
+@pytest.mark.parametrize("pair", "ᎪA ᏔW ᏚS ꓢS ꓮA ⲞO ⲟo 𝐀A 𝑥x ıi ᴏo ᴠv ℂC 𝟗9 ヘへ 口ロ ІI ӀI 𝐦m".split())
+def test_other_scripts(spark, pair):
+    table = lookalike.Prototypes(lookalike.public_prototypes())
+    a, b = pair
+    assert lookalike.skeleton(f"x{a}y", table) == lookalike.skeleton(f"x{b}y", table)
+
+
+@pytest.mark.parametrize("pair", "Il O0 1l |l m,rn œ,oe æ,ae ſs ſf –- ’' …,... éè ñn Бб ÌI ıl θ0 З3 б6".split())
+def test_real_differences(spark, pair):
+    table = lookalike.Prototypes(lookalike.public_prototypes())
+    a, b = pair.split(",") if "," in pair else pair
+    assert lookalike.skeleton(f"x{a}y", table) != lookalike.skeleton(f"x{b}y", table)
 
 
 @given(st.text(max_size=40))
-def test_skeleton_is_stable(s):
-    assert lookalike.skeleton(lookalike.skeleton(s)) == lookalike.skeleton(s)
+def test_skeleton_is_stable(spark, s):
+    table = lookalike.Prototypes(lookalike.public_prototypes())
+    assert lookalike.skeleton(lookalike.skeleton(s, table), table) == lookalike.skeleton(s, table)
 
 
 def test_look_alike_pairs(spark):
