@@ -10,10 +10,19 @@ rounds also attach entries that name no place: each goes to its best match, and
 where two matches that exclude each other are equally good, so that an entry never
 joins two persons.
 
+After the first wide round only pairs with a profile that was merged since are matched
+again; what is known of other pairs stays.  Every merging round leaves fewer profiles,
+so the work ends by itself.
+
 Entries with equal profiles are one profile from the start, so copies cost nothing.
-Blocks of more than ``BLOCK_ROWS`` profiles are compared in pairs of chunks, each chunk
+A block of more than ``BLOCK_ROWS`` profiles (a common surname) is split by a second
+key: members with a place meet only where their places may be one, and those without a
+place meet all others.  What is still larger is compared in pairs of chunks, each chunk
 pair by itself: no task holds an unbounded block and no comparison is left out.
 
+What is customary in names (short forms, titles, kinds of bodies) is a parameter,
+``Customs``; its defaults are English.
+
 Defined results: entries of different kinds are never linked; an entry without any name
 is linked to nothing; pairs of one entity are all listed, the smaller key first.
 """
@@ -34,8 +43,6 @@ from chronolex.runtime import spread, written
 
 #: Profiles of a block that are compared in one piece.
 BLOCK_ROWS = 400
-#: Rounds of merging at most; the last round that merges nothing ends the work before.
-MOST_ROUNDS = 12
 
 # Customary short forms of given names.
 SHORT_FORMS = {
@@ -52,12 +59,19 @@ TITLES = {"mr", "mrs", "miss", "ms", "dr", "sir", "lord", "lady", "dame", "col",
 AFTER_NAME = {"qc", "kc", "mp", "esq", "jun", "jr", "sen", "sr", "bart", "obe", "mbe", "cbe"}
 BODY_KINDS = ("association", "guild", "federation", "institute", "council", "company", "union", "society", "league", "board", "chamber", "club", "committee", "college", "trust")
 BODY_SHORT = {"gld": "guild", "ccl": "council", "co": "company", "soc": "society", "un": "union", "inst": "institute", "fed": "federation", "assoc": "association"}
-_FULL = {s: full for full, short in SHORT_FORMS.items() for s in short.split()} | {f: f for f in SHORT_FORMS}
-#: A short form may stand for several names.
-_MANY: dict[str, set[str]] = {}
-for _f, _s in SHORT_FORMS.items():
-    for _x in _s.split():
-        _MANY.setdefault(_x, set()).add(_f)
+
+
+class Customs:
+    """What is customary in names: tables that a caller may give for another country."""
+
+    def __init__(self, short_forms=SHORT_FORMS, titles=TITLES, after_name=AFTER_NAME, body_kinds=BODY_KINDS, body_short=BODY_SHORT):
+        self.short_forms, self.titles, self.after_name, self.body_kinds, self.body_short = short_forms, titles, after_name, body_kinds, body_short
+        self.full = {s: full for full, short in short_forms.items() for s in short.split()} | {f: f for f in short_forms}
+        #: A short form may stand for several names.
+        self.many: dict[str, set[str]] = {}
+        for full, short in short_forms.items():
+            for x in short.split():
+                self.many.setdefault(x, set()).add(full)
 
 
 @lru_cache(200_000)
@@ -129,30 +143,30 @@ def _clean(t: str) -> str:
 
 
 @lru_cache(100_000)
-def given_name(token: str) -> str:
+def given_name(c: Customs, token: str) -> str:
     """The full form of a given name where it is known, an initial as one letter."""
     dotted, w = token.endswith("."), _clean(token)
     if len(w) <= 1:
         return w
-    if w in _FULL and len(_MANY.get(w, ())) < 2:
-        return _FULL[w]
-    if dotted and len(hits := [f for f in SHORT_FORMS if shortened(w, f)]) == 1:
+    if w in c.full and len(c.many.get(w, ())) < 2:
+        return c.full[w]
+    if dotted and len(hits := [f for f in c.short_forms if shortened(w, f)]) == 1:
         return hits[0]
-    if len(hits := [f for f in SHORT_FORMS if sound(f) == sound(w)]) == 1:
+    if len(hits := [f for f in c.short_forms if sound(f) == sound(w)]) == 1:
         return hits[0]
-    if len(w) >= 4 and len(hits := [f for f in SHORT_FORMS if f[0] == w[0] and near(w, f)]) == 1:
+    if len(w) >= 4 and len(hits := [f for f in c.short_forms if f[0] == w[0] and near(w, f)]) == 1:
         return hits[0]
     return w + "." if dotted else w
 
 
-def _person(tokens: list[str], out: dict) -> None:
+def _person(c: Customs, tokens: list[str], out: dict) -> None:
     """Given names, title and surname of tokens in any of the customary orders."""
-    while tokens and _clean(tokens[0]) in TITLES | {"the"} and len(tokens) > 1:
+    while tokens and _clean(tokens[0]) in {*c.titles, "the"} and len(tokens) > 1:
         if (t := _clean(tokens.pop(0))) != "the":
             out["title"].add(t)
-    while len(tokens) > 2 and re.sub(r"\W", "", plain(tokens[-1])) in AFTER_NAME:
+    while len(tokens) > 2 and re.sub(r"\W", "", plain(tokens[-1])) in c.after_name:
         tokens.pop()
-    if len(tokens) == 2 and re.sub(r"\W", "", plain(tokens[-1])) in AFTER_NAME and not tokens[-1].isupper():
+    if len(tokens) == 2 and re.sub(r"\W", "", plain(tokens[-1])) in c.after_name and not tokens[-1].isupper():
         tokens.pop()
     tokens = [t.lstrip(".") for t in tokens]
     if len(tokens) == 1 and not re.match(r"(?:Mac|Mc|O[’'])[A-Z]\w*$", tokens[0]):  # a blank was left out
@@ -167,12 +181,12 @@ def _person(tokens: list[str], out: dict) -> None:
         surname, given = tokens[-1], tokens[:-1]
     if _clean(surname):
         out["surname"].add(_clean(surname).replace("-", ""))
-    names = [given_name(t) for t in given if _clean(t)]
+    names = [given_name(c, t) for t in given if _clean(t)]
     if names:
         out["given"].add(" ".join(names))
 
 
-def parse_member(display: str | None, speaker: str | None, party: str | None) -> dict:
+def parse_member(c: Customs, display: str | None, speaker: str | None, party: str | None) -> dict:
     out: dict = {k: set() for k in ("surname", "given", "title", "place", "party", "whole")}
     if display and display.strip():
         s = display.strip()
@@ -181,15 +195,15 @@ def parse_member(display: str | None, speaker: str | None, party: str | None) ->
             s = s[: m.start()] + s[m.end() :]
         s = s.rstrip(" .,;") if not re.search(r"\b[^\W\d_]\.$|[A-Za-z]{2,4}\.$", s.rstrip(" ,;")) or s.endswith((",", ";")) else s
         a, comma, b = s.partition(",")
-        if comma and b.strip() and re.sub(r"\W", "", plain(b)) not in AFTER_NAME and _clean(b) not in TITLES:
+        if comma and b.strip() and re.sub(r"\W", "", plain(b)) not in c.after_name and _clean(b) not in c.titles:
             s = f"{b.strip()} {a.strip()}"
             t = _tokens(s)
-            _person([*(x if not x.isupper() or len(x) < 3 else x.title() for x in t)], out)
+            _person(c, [*(x if not x.isupper() or len(x) < 3 else x.title() for x in t)], out)
         else:
             s = a if comma else s
-            if comma and _clean(b) in TITLES:
+            if comma and _clean(b) in c.titles:
                 out["title"].add(_clean(b))
-            _person(_tokens(s), out)
+            _person(c, _tokens(s), out)
         out["whole"].add(re.sub(r"[^a-z]", "", plain(s)))
     if speaker and speaker.strip():
         s = speaker.strip()
@@ -201,31 +215,31 @@ def parse_member(display: str | None, speaker: str | None, party: str | None) ->
                 s = s[: m.start()].strip()
             a, comma, b = s.partition(",")
             if comma and b.strip():
-                if _clean(b) in TITLES:
+                if _clean(b) in c.titles:
                     out["title"].add(_clean(b))
                 else:
                     out["place"].add(_clean(b))
                 s = a
             t = _tokens(s)
-            own = [x for x in t if _clean(x) in TITLES]
+            own = [x for x in t if _clean(x) in c.titles]
             if len(t) - len(own) >= 1:
                 out["title"].update(_clean(x) for x in own)
-                _person([x for x in t if x not in own], out)
+                _person(c, [x for x in t if x not in own], out)
     if party and party.strip():
         out["party"].add(plain(party))
     out["place"].discard("")
     return out
 
 
-def parse_body(display: str | None) -> dict:
+def parse_body(c: Customs, display: str | None) -> dict:
     out: dict = {k: set() for k in ("kind", "trade", "place", "short_place")}
     s = re.sub(r"[(),]", " ", display or "")
     tokens = [t for t in s.split() if (w := _clean(t)) and w not in ("the", "of", "o", "f", "fo")]
     best = None
     for i, t in enumerate(tokens):
         w = _clean(t)
-        for k in BODY_KINDS:
-            d = 0 if w == k or BODY_SHORT.get(w) == k or (t.endswith(".") and len(w) > 1 and w != "co" and shortened(w, k)) else distance(w, k) if len(w) > 4 else 9
+        for k in c.body_kinds:
+            d = 0 if w == k or c.body_short.get(w) == k or (t.endswith(".") and len(w) > 1 and w != "co" and shortened(w, k)) else distance(w, k) if len(w) > 4 else 9
             if d <= 2 and (best is None or d < best[0]):
                 best = (d, i, k)
     if best and len(tokens) >= 3:
@@ -276,12 +290,12 @@ def same_party(x: str, y: str) -> bool:
     return all(alike(p, q) for p, q in zip(a, b)) or (n == 2 and all(alike(p, q) for p, q in zip(a, b[::-1])))
 
 
-def parse(kind: str, display: str | None, speaker: str | None, party: str | None) -> dict:
+def parse(c: Customs, kind: str, display: str | None, speaker: str | None, party: str | None) -> dict:
     if kind == "party":
         return {"name": {plain(party)} if party and party.strip() else set()}
     if kind == "body":
-        return parse_body(display)
-    return parse_member(display, speaker, party)
+        return parse_body(c, display)
+    return parse_member(c, display, speaker, party)
 
 
 def dump(p: dict) -> str:
@@ -340,7 +354,7 @@ def _surnames(a: list, b: list) -> int:
     return 2 if any(near(x, y) or near(sound(x), sound(y)) for x in a for y in b) else 0
 
 
-def _names_alike(x: str, y: str) -> int:
+def _names_alike(c: Customs, x: str, y: str) -> int:
     """2 for one given name, 1 where one is an initial or abbreviation of the other, 0 else."""
     u, v = x.rstrip("."), y.rstrip(".")
     if u == v:
@@ -349,14 +363,14 @@ def _names_alike(x: str, y: str) -> int:
         return 1 if u[0] == v[0] else 0
     if (x.endswith(".") and shortened(u, v)) or (y.endswith(".") and shortened(v, u)):
         return 1
-    if v in _MANY.get(u, ()) or u in _MANY.get(v, ()) or _MANY.get(u, set()) & _MANY.get(v, set()):
+    if v in c.many.get(u, ()) or u in c.many.get(v, ()) or c.many.get(u, set()) & c.many.get(v, set()):
         return 2
-    if u in SHORT_FORMS and v in SHORT_FORMS:
+    if u in c.short_forms and v in c.short_forms:
         return 0  # two known names are not a slip apart
     return 2 if near(u, v) or sound(u) == sound(v) else 0
 
 
-def _given(a: list, b: list) -> int:
+def _given(c: Customs, a: list, b: list) -> int:
     """Agreement of given names: 3 first and middle, 2 first, 1 by an initial, 0 unknown, -1 conflict."""
     if not a or not b:
         return 0
@@ -364,18 +378,18 @@ def _given(a: list, b: list) -> int:
     for x in a:
         for y in b:
             p, q = x.split(" "), y.split(" ")
-            first = _names_alike(p[0], q[0])
+            first = _names_alike(c, p[0], q[0])
             if not first:
                 continue
             if len(p) > 1 and len(q) > 1:
-                middle = _names_alike(p[1], q[1])
+                middle = _names_alike(c, p[1], q[1])
                 best = max(best, -1 if not middle else 3 if first == 2 else 1.5)
             else:
                 best = max(best, first)
     return best
 
 
-def match_members(a: dict, b: dict) -> tuple[str, float] | None:
+def match_members(c: Customs, a: dict, b: dict) -> tuple[str, float] | None:
     """('sure', score) or ('attach', score) when two profiles may be one person."""
     get = lambda p, k: p.get(k, ())
     titles = bool(set(get(a, "title")) & set(get(b, "title")))
@@ -385,7 +399,7 @@ def match_members(a: dict, b: dict) -> tuple[str, float] | None:
     if placed and not any(near_place(x, y) for x in get(a, "place") for y in get(b, "place")):
         return None
     surname = _surnames(get(a, "surname"), get(b, "surname"))
-    given = _given(get(a, "given"), get(b, "given"))
+    given = _given(c, get(a, "given"), get(b, "given"))
     if given < 0 or not surname:
         if not any(distance(x, y) <= 2 for x in get(a, "whole") for y in get(b, "whole") if min(len(x), len(y)) >= 9):
             return None
@@ -401,7 +415,7 @@ def match_members(a: dict, b: dict) -> tuple[str, float] | None:
     return ("attach", score) if given >= 1 and surname == 3 and titles else None
 
 
-def match_bodies(a: dict, b: dict) -> tuple[str, float] | None:
+def match_bodies(_: Customs, a: dict, b: dict) -> tuple[str, float] | None:
     if not set(a.get("kind", ())) & set(b.get("kind", ())):
         return None
     trade = any(near(x, y) or sound(x) == sound(y) for x in a.get("trade", ()) for y in b.get("trade", ()))
@@ -415,7 +429,7 @@ def match_bodies(a: dict, b: dict) -> tuple[str, float] | None:
     return ("attach", 5.0) if short else None
 
 
-def match_parties(a: dict, b: dict) -> tuple[str, float] | None:
+def match_parties(_: Customs, a: dict, b: dict) -> tuple[str, float] | None:
     return ("sure", 10.0) if any(same_party(x, y) for x in a.get("name", ()) for y in b.get("name", ())) else None
 
 
@@ -435,61 +449,99 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _match_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Matches within blocks: rows (block, chunk, two chunks?, id, profile)."""
-    out: list[tuple] = []
-    loaded: dict[int, dict] = {}
-    for rows in _runs(batches):
-        if len(rows) < 2:
-            continue
-        match = MATCH.get(rows[0][0].partition(":")[0], match_members)
-        if len(loaded) > 50_000:
-            loaded.clear()
-        profiles = [loaded.setdefault(r[3], json.loads(r[4])) if r[3] not in loaded else loaded[r[3]] for r in rows]
-        for i in range(len(rows)):
-            for j in range(i):
-                if rows[i][3] == rows[j][3] or (rows[i][2] and rows[i][1] == rows[j][1]):
-                    continue  # equal chunks meet in a block of their own
-                got = match(profiles[i], profiles[j])
-                if got:
-                    kind, score = got
-                    a, b = profiles[i], profiles[j]
-                    if kind == "sure":
-                        x, y = sorted((rows[i][3], rows[j][3]))
-                        out.append((x, y, True, 0.0, ""))
-                    else:
-                        for p, q, pi, qi in ((a, b, i, j), (b, a, j, i)):
-                            if not p.get("place") and (q.get("place") or rows[qi][3] < rows[pi][3]):
-                                out.append((rows[pi][3], rows[qi][3], False, score + (0.5 if q.get("place") else 0.0), (q.get("place") or [""])[0]))
-        if len(out) > 20_000:
-            yield pd.DataFrame(out, columns=["a", "b", "sure", "score", "place"])
-            out = []
-    yield pd.DataFrame(out, columns=["a", "b", "sure", "score", "place"]).astype({"a": "int64", "b": "int64", "sure": bool, "score": float, "place": str})
-
-
-def _candidates(profiles: DataFrame, wide: bool) -> DataFrame:
-    """Matches among ``profiles(id, kind, profile)`` over all blocks."""
+def _matcher(c: Customs):
+    """Matches within blocks: rows (part, kind, side, across, id, fresh, profile), sorted by part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        loaded: dict[int, dict] = {}
+        for rows in _runs(batches):
+            if len(rows) < 2:
+                continue
+            match = MATCH.get(rows[0][1], match_members)
+            if len(loaded) > 50_000:
+                loaded.clear()
+            profiles = [loaded[r[4]] if r[4] in loaded else loaded.setdefault(r[4], json.loads(r[6])) for r in rows]
+            for i in range(len(rows)):
+                _, kind, side, across, me, fresh, _ = rows[i]
+                for j in range(i):
+                    if rows[j][4] == me or rows[j][1] != kind or not (fresh or rows[j][5]) or (across and side == rows[j][2]):
+                        continue  # equal sides meet in a part of their own
+                    got = match(c, profiles[i], profiles[j])
+                    if got:
+                        out += _links(got, me, rows[j][4], profiles[i], profiles[j])
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=["a", "b", "sure", "score", "place"])
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b", "sure", "score", "place"]).astype({"a": "int64", "b": "int64", "sure": bool, "score": float, "place": str})
+
+    return run
+
+
+def _links(got: tuple[str, float], x: int, y: int, a: dict, b: dict) -> Iterator[tuple]:
+    """(a, b, sure, score, place): the pair if sure, else who may be attached to whom."""
+    kind, score = got
+    if kind == "sure":
+        yield (min(x, y), max(x, y), True, 0.0, "")
+        return
+    for p, q, pi, qi in ((a, b, x, y), (b, a, y, x)):
+        if not p.get("place") and (q.get("place") or qi < pi):
+            yield (pi, qi, False, score + (0.5 if q.get("place") else 0.0), (q.get("place") or [""])[0])
+
+
+def _candidates(profiles: DataFrame, wide: bool, c: Customs) -> DataFrame:
+    """Matches among ``profiles(id, kind, profile, fresh)`` over all blocks, of pairs with a fresh profile.
+
+    Blocks are handled as (hash, id); only what shares a block with something fresh gets its profile.
+    """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, p) for i, kind, p in pdf.itertuples(index=False, name=None) for k in block_keys(kind, json.loads(p), wide)]
-            yield pd.DataFrame(rows, columns=["block", "id", "profile"])
-
-    entries = written(profiles.select("id", "kind", "profile").mapInPandas(keys, "block string, id long, profile string"))
-    sizes = entries.groupBy("block").count().where("count > 1").select("block", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("chunks"))
+            rows = []
+            for i, kind, p, fresh in pdf.itertuples(index=False, name=None):
+                p = json.loads(p)
+                second = sorted({x for w in p.get("place", ()) for x in _slips(w)}) if kind not in MATCH else []
+                rows += [(k, i, fresh, second) for k in block_keys(kind, p, wide)]
+            yield pd.DataFrame(rows, columns=["block", "id", "fresh", "second"])
+
+    entries = profiles.select("id", "kind", "profile", "fresh").mapInPandas(keys, "block string, id long, fresh boolean, second array<string>")
+    entries = written(entries.select(F.xxhash64("block").alias("block"), "id", "fresh", "second"))
+    sizes = entries.groupBy("block").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("n > 1 and any").select("block", "n")
     shared = entries.join(sizes, "block")
+    parts = shared.where(F.col("n") <= BLOCK_ROWS).select(F.col("block").alias("part"), F.lit(0).alias("side"), F.lit(False).alias("across"), "id")
+    if (sizes.agg(F.max("n")).first()[0] or 0) > BLOCK_ROWS:
+        parts = parts.unionByName(_split_blocks(written(shared.where(F.col("n") > BLOCK_ROWS).select("block", "id", "second"))))
+    rows = parts.join(profiles.select("id", "kind", "fresh", "profile"), "id").select("part", "kind", "side", "across", "id", "fresh", "profile")
+    return rows.repartition("part").sortWithinPartitions("part", "id").mapInPandas(_matcher(c), "a long, b long, sure boolean, score double, place string")
+
+
+def _split_blocks(hot: DataFrame) -> DataFrame:
+    """``(part, side, across, id)``: the blocks of ``hot(block, id, second)`` in parts of bounded size.
+
+    With a second key: by it, in pairs of chunks where that is still too much.  Without
+    one: against the whole block, in pairs of a chunk of these and a chunk of all.
+    """
+    keyed = hot.select("block", "id", F.explode("second").alias("second")).select(F.xxhash64("block", "second").alias("block"), "id")
+    count = lambda df: df.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    pairs = shared.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    part = F.concat_ws("\u0001", "block", F.least("chunk", "other").cast("string"), F.greatest("chunk", "other").cast("string"))
-    rows = pairs.select(part.alias("block"), "chunk", (F.col("chunk") != F.col("other")).alias("two"), "id", "profile")
-    spread_out = rows.repartition("block").sortWithinPartitions("block", "id")
-    return spread_out.mapInPandas(_match_blocks, "a long, b long, sure boolean, score double, place string")
+    pairs = keyed.join(count(keyed), "block").select("block", "id", chunk.alias("side"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    within = pairs.select(F.xxhash64("block", F.least("side", "other"), F.greatest("side", "other")).alias("part"), "side", (F.col("side") != F.col("other")).alias("across"), "id")
+    bare = hot.where("size(second) = 0").select("block", "id")
+    many = count(bare).withColumnRenamed("chunks", "bare").join(count(hot), "block")
+    a = bare.join(many, "block").select("block", "id", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.col("bare")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("y"))
+    b = hot.join(many, "block").select("block", "id", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("bare") - 1)).alias("x"), chunk.alias("y"))
+    between = a.select("block", "id", "side", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).unionByName(b.select("block", "id", "side", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))
+    return within.unionByName(between.select(F.xxhash64("block", "x", "y", F.lit("bare")).alias("part"), "side", F.lit(True).alias("across"), "id"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(id, root)`` of every id in ``edges(a, b)``: the smallest id of its component."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct())
-    roots = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
+    """``(id, root)`` of every id in ``edges(a, b)``: the smallest id of its component.
+
+    Each id takes the least root of its neighbours and then that root's own root, until
+    nothing changes; hubs cost one partial aggregate a task.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct()
+    roots = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root"))
     while True:
         seen = both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(seen, roots.id == seen.a).select("id", "root", F.least("root", "near").alias("next"))
@@ -516,43 +568,52 @@ def _merge(profiles: DataFrame, roots: DataFrame) -> DataFrame:
                 done = []
         yield pd.DataFrame(done, columns=["id", "kind", "profile"])
 
-    moved = profiles.join(roots, "id")
-    return written(profiles.join(roots, "id", "left_anti").select("id", "kind", "profile").unionByName(moved.select("root", "profile", "kind").repartition("root").sortWithinPartitions("root").mapInPandas(unite, "id long, kind string, profile string")))
+    moved = profiles.join(roots, "id").select("root", "profile", "kind").repartition("root").sortWithinPartitions("root").mapInPandas(unite, "id long, kind string, profile string")
+    stay = profiles.join(roots, "id", "left_anti").select("id", "kind", "profile", F.lit(False).alias("fresh"))
+    return written(stay.unionByName(moved.withColumn("fresh", F.lit(True))))
 
 
-def resolve(df: DataFrame, key: str = "form_id", kind: str = "kind", display: str = "display_as", speaker: str = "speaker", party: str = "party") -> DataFrame:
+def resolve(df: DataFrame, key: str = "form_id", kind: str = "kind", display: str = "display_as", speaker: str = "speaker", party: str = "party", *, customs: Customs | None = None) -> DataFrame:
     """``(key, entity)``: the entity of every entry, named by its smallest key."""
+    c = customs or Customs()
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, dump(parse(k, *(x if isinstance(x, str) else None for x in names)))) for i, k, *names in pdf.itertuples(index=False, name=None)]
+            rows = [(i, k, dump(parse(c, k, *(x if isinstance(x, str) else None for x in names)))) for i, k, *names in pdf.itertuples(index=False, name=None)]
             yield pd.DataFrame(rows, columns=["key", "kind", "profile"])
 
     entries = spread(df.where(F.col(key).isNotNull() & F.col(kind).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(kind).alias("kind"), F.col(display), F.col(speaker), F.col(party)))
     parsed = written(entries.mapInPandas(profile, "key long, kind string, profile string"))
     named = parsed.where("profile != '{}'")
-    profiles = written(named.groupBy("kind", "profile").agg(F.min("key").alias("id")).select("id", "kind", "profile"))
+    profiles = written(named.groupBy("kind", "profile").agg(F.min("key").alias("id")).select("id", "kind", "profile", F.lit(True).alias("fresh")))
     first = profiles.select("id", F.col("kind").alias("k"), F.col("profile").alias("p"))
     own = named.join(first, (named.kind == first.k) & (named.profile == first.p)).select("key", "id")
     owners = written(own.unionByName(parsed.where("profile = '{}'").select("key", F.col("key").alias("id"))))
-    for turn in range(MOST_ROUNDS):
-        found = _candidates(profiles, wide=turn > 0)
-        if turn == 0:
-            edges = found.where("sure").select("a", "b").distinct()
-        else:
-            found = written(found)
-            sure = found.where("sure").select("a", "b").distinct()
-            best = found.where("not sure").groupBy("a").agg(F.max("score").alias("top"))
-            at_top = found.where("not sure").join(best, "a").where("score >= top - 0.25").groupBy("a").agg(F.min("b").alias("b"), F.countDistinct("place").alias("places"))
-            edges = sure.unionByName(at_top.where("places = 1").select("a", "b"))
+
+    def merge(edges: DataFrame) -> bool:
+        nonlocal profiles, owners
         edges = written(edges)
         if edges.isEmpty():
-            if turn:
-                break
-            continue
+            return False
         roots = components(edges)
         profiles = _merge(profiles, roots)
         owners = written(owners.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("id")))
+        return True
+
+    merge(_candidates(profiles, False, c).where("sure").select("a", "b").distinct())
+    profiles = profiles.withColumn("fresh", F.lit(True))
+    known: DataFrame | None = None  # who may be attached to whom
+    while True:
+        found = _candidates(profiles, True, c)
+        if known is not None:
+            same = profiles.where("not fresh").select("id")
+            found = found.unionByName(known.join(same.withColumnRenamed("id", "a"), "a", "left_semi").join(same.withColumnRenamed("id", "b"), "b", "left_semi").select(*found.columns))
+        known = written(found)
+        sure = known.where("sure").select("a", "b").distinct()
+        best = known.where("not sure").groupBy("a").agg(F.max("score").alias("top"))
+        at_top = known.where("not sure").join(best, "a").where("score >= top - 0.25").groupBy("a").agg(F.min("b").alias("b"), F.countDistinct("place").alias("places"))
+        if not merge(sure.unionByName(at_top.where("places = 1").select("a", "b"))):
+            break
     smallest = owners.groupBy("id").agg(F.min("key").alias("entity"))
     return owners.join(smallest, "id").select("key", "entity")
 

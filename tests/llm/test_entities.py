@@ -48,3 +48,41 @@ def test_empty(spark):
 @pytest.mark.parametrize(("a", "b", "near"), [("gwaffwater", "gwafwater", True), ("rooscote", "roosctoe", True), ("tarn", "barn", True), ("ann", "and", False), ("glendbeck", "gleallby", False)])
 def test_near(a, b, near):
     assert E.near(a, b) is near
+
+
+def held_out(seed, persons=150):
+    """Entries of invented persons and bodies, of syllables that occur in no given table, each with its truth."""
+    import random
+
+    r = random.Random(seed)
+    word = lambda n: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(n)).capitalize() + r.choice(["n", "s", "k", "x"])
+    places, given = [word(3) + r.choice(["ham", "ton", "wick"]) for _ in range(40)], [g for g in E.SHORT_FORMS if len(E.SHORT_FORMS[g].split()[0]) > 2]
+    rows, truth = [], {}
+
+    def slip(w):
+        i = r.randrange(2, len(w) - 1)
+        return r.choice([w[:i] + w[i + 1 :], w[:i] + r.choice("aeioumnr") + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+    def add(kind, entity, *names):
+        rows.append((len(rows), kind, *names))
+        truth[len(rows) - 1] = entity
+
+    for n in range(persons):
+        g, s, place, party = r.choice(given).capitalize(), word(3), r.choice(places), f"{word(2)} {word(2)} Party"
+        short = r.choice(E.SHORT_FORMS[g.lower()].split()).capitalize()
+        title = r.choice(["Mr.", "Sir", "Dr."])
+        forms = [f"{g} {s}", f"{s}, {g}", f"{s.upper()} {g}", f"{g} {slip(s)}", f"{short} {s}", f"{g[0]}. {s}"]
+        for f in r.sample(forms, 4):
+            add("member", f"m{n}", f, f"{title} {s} ({place})", party)
+        k, trade = r.choice(["Guild", "Society", "League"]), word(3) + "ers"
+        for f in (f"{k} of {trade} of {place}", f"{place} {trade} {k}", f"{k} of {slip(trade)} of {place}"):
+            add("body", f"b{n}", f, None, None)
+    return rows, truth
+
+
+def test_held_out_names(spark):
+    rows, truth = held_out(99)
+    found = {(p.a, p.b) for p in E.linked_pairs(E.resolve(spark.createDataFrame(rows, SCHEMA))).collect()}
+    true = {(i, j) for i in truth for j in range(i + 1, len(rows)) if truth[i] == truth[j]}
+    print("recall", len(found & true) / len(true), "precision", len(found & true) / len(found))
+    assert len(found & true) > 0.9 * len(true) and len(found & true) > 0.98 * len(found)
