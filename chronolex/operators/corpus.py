@@ -101,6 +101,26 @@ def tag_domains(words: DataFrame, lex: DataFrame, column: str = "collocate") ->
     return words.join(lex, words[column] == lex["word"], "left").select(*[words[c] for c in words.columns], F.coalesce("domain", F.lit("untagged")).alias("domain"), F.coalesce("domain_rank", F.lit(99)).alias("domain_rank"))
 
 
+def domain_words(lex: DataFrame, domain: str) -> DataFrame:
+    return lex.where(F.col("domain") == domain).select("word")
+
+
+def sentence_domains(sentences: DataFrame, lex: DataFrame, top: int = 2) -> DataFrame:
+    """``(speech_id, idx, domains MAP<domain, count>, top)`` of sentences with a word of any domain."""
+    words = sentences.select("speech_id", "idx", F.explode(X.words(F.col("sentence"))).alias("t"))
+    n = words.join(lex, words.t == F.col("word")).groupBy("speech_id", "idx", "domain").agg(F.count("*").alias("n"))
+    g = n.groupBy("speech_id", "idx").agg(F.collect_list(F.struct("domain", "n")).alias("d"))  # at most one entry a domain
+    first = F.slice(F.transform(F.array_sort(F.transform("d", lambda x: F.struct((-x["n"]).alias("m"), x["domain"].alias("domain")))), lambda x: x["domain"]), 1, top)
+    return g.select("speech_id", "idx", F.map_from_entries("d").alias("domains"), first.alias("top"))
+
+
+def kwic_collocates(contexts: DataFrame, normalise: bool = False) -> DataFrame:
+    """``(word, n)``: words of both sides of contexts, without short and empty ones; early spelling may be made modern first."""
+    both = F.concat_ws(" ", "left_context", "right_context")
+    words = contexts.select(F.explode(X.words(X.normalise_spelling(both) if normalise else both)).alias("word"))
+    return words.where((F.length("word") > 2) & ~F.col("word").isin(*STOPWORDS)).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def kwic(df: DataFrame, key: str, text: str, words=TARGETS, span: int = 10) -> DataFrame:
     """``(key, position, match, left_context, right_context)`` for tokens that begin with a target word."""
     pattern = rf"^(?i)({'|'.join(words)})\b"

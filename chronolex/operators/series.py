@@ -27,13 +27,21 @@ def by_span(s: DataFrame, years: int, start: int = 0) -> DataFrame:
     return s.groupBy("series", begin.alias("span")).agg(F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("years"))
 
 
-def growth(s: DataFrame, ends: int = 5, least: int = 3) -> DataFrame:
-    """Mean of the last years over that of the first, and peak year (the first of equals)."""
+def growth(s: DataFrame, ends: int = 5, least: int = 10) -> DataFrame:
+    """Mean of the last years over that of the first, and peak year (the first of equals).
+
+    Series shorter than ``least`` years have no row; from a mean of 0 growth is infinite.
+    """
     w = Window.partitionBy("series")
     r = s.withColumn("i", F.row_number().over(w.orderBy("year"))).withColumn("j", F.row_number().over(w.orderBy(F.desc("year"))))
     early, late = F.avg(F.when(F.col("i") <= ends, F.col("value"))), F.avg(F.when(F.col("j") <= ends, F.col("value")))
     g = r.groupBy("series").agg(F.count("*").alias("n"), early.alias("a"), late.alias("b"), F.max_by("year", F.struct(F.col("value"), -F.col("year"))).alias("peak_year"), F.max("value").alias("peak"))
-    return g.where(F.col("n") >= least).select("series", F.round(F.try_divide(F.col("b"), F.col("a")), 6).alias("growth"), "peak_year", "peak")
+    return g.where(F.col("n") >= least).select("series", F.when(F.col("a") == 0, float("inf")).otherwise(F.round(F.try_divide(F.col("b"), F.col("a")), 6)).alias("growth"), "peak_year", "peak")
+
+
+def growth_rank(grown: DataFrame) -> DataFrame:
+    """Series from the most grown to the least; ties by name."""
+    return grown.select("series", "growth", F.row_number().over(Window.orderBy(F.desc("growth"), "series")).alias("place"))
 
 
 def since(s: DataFrame, reference: int) -> DataFrame:

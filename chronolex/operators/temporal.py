@@ -13,10 +13,22 @@ def words_by_period(embeddings: DataFrame) -> DataFrame:
     return keyed_words(embeddings).drop("vec_id")
 
 
+#: Keys of a label that are numbered together.
+NUMBERED_TOGETHER = 1_000_000
+
+
 def keyed_words(embeddings: DataFrame) -> DataFrame:
-    """``words_by_period`` with the key of each vector."""
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return embeddings.select("vec_id", (F.lit(1900) + 10 * F.col("label")).cast("int").alias("period"), F.concat(F.lit("w"), n.cast("string")).alias("word"), F.col("embedding").alias("vec"))
+    """``words_by_period`` with the key of each vector.
+
+    Keys are numbered in ranges, and each range begins where the count of those before it
+    ends, so no task sorts the whole of a label; keys are positive.
+    """
+    part = F.floor(F.col("vec_id") / NUMBERED_TOGETHER)
+    sizes = embeddings.select("label", part.alias("part")).groupBy("label", "part").agg(F.count("*").alias("n"))
+    begins = sizes.select("label", "part", (F.sum("n").over(Window.partitionBy("label").orderBy("part")) - F.col("n")).alias("begin"))
+    rows = embeddings.withColumn("part", part).join(begins, ["label", "part"])
+    n = F.col("begin") + F.row_number().over(Window.partitionBy("label", "part").orderBy("vec_id"))
+    return rows.select("vec_id", (F.lit(1900) + 10 * F.col("label")).cast("int").alias("period"), F.concat(F.lit("w"), n.cast("string")).alias("word"), F.col("embedding").alias("vec"))
 
 
 def pick(vectors: DataFrame, words: list[str]) -> DataFrame:
@@ -47,6 +59,43 @@ def drift(vectors: DataFrame, words: list[str]) -> DataFrame:
     return rows.where("before is not null").select("word", "period", "from_period", F.round(V.cosine_distance(F.col("vec"), F.col("before")), 6).alias("step"), F.round(V.cosine_distance(F.col("vec"), F.col("begin")), 6).alias("since_first"))
 
 
+def trajectory(rows: DataFrame, metric: str = "cosine") -> DataFrame:
+    """Change of each word to its last available period, since its first (0 there), and in all; words of one period are left out.
+
+    ``cosine`` takes vectors ``(period, word, vec)``; ``neighbor`` takes neighbour lists
+    ``(period, query, word)`` and measures 1 less their Jaccard share.
+    """
+    if metric == "cosine":
+        w, value = Window.partitionBy("word").orderBy("period"), "vec"
+        change = lambda a, b: V.cosine_distance(a, b)
+    elif metric == "neighbor":
+        rows = rows.groupBy(F.col("query").alias("q"), "period").agg(F.collect_set("word").alias("near")).select(F.col("q").alias("word"), "period", "near")
+        w, value = Window.partitionBy("word").orderBy("period"), "near"
+        change = lambda a, b: 1 - F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    else:
+        raise ValueError(f"unknown metric: {metric}")
+    every = Window.partitionBy("word")
+    now, was, begin = F.col(value), F.col("was"), F.col("begin")
+    r = rows.select("word", "period", value, F.lag(value).over(w).alias("was"), F.lag("period").over(w).alias("from_period"), F.first(value).over(w).alias("begin"), F.count("*").over(every).alias("n")).where("n > 1")
+    r = r.select("word", "period", "from_period", F.when(was.isNotNull(), F.round(change(now, was), 6)).alias("step"), F.when(was.isNull(), 0.0).otherwise(F.round(change(now, begin), 6)).alias("since_first"))
+    return r.withColumn("total", F.max_by("since_first", "period").over(every))
+
+
+def rank_of(totals: DataFrame) -> DataFrame:
+    """Place of each word as 'r/n' from the most displaced, and the share of the others that are less displaced."""
+    n = F.count("*").over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(F.desc("total"), "word"))
+    less = F.rank().over(Window.orderBy("total")) - 1
+    return totals.select("word", "total", F.concat(place.cast("string"), F.lit("/"), n.cast("string")).alias("place"), F.round(F.try_divide(less.cast("double"), n - 1), 6).alias("share_less"))
+
+
+def domain_turnover(turned: DataFrame, lex: DataFrame) -> DataFrame:
+    """``(query, period, change, domain, words)``: domains of the neighbours that came and went; a word counts in each of its domains."""
+    side = lambda c: F.struct(F.lit(c).alias("change"), F.filter(F.split(c, " "), lambda x: x != "").alias("ws"))
+    long = turned.select("query", "period", F.explode(F.array(side("entered"), side("exited"))).alias("s")).select("query", "period", "s.change", F.explode("s.ws").alias("w"))
+    return long.join(lex, F.col("w") == lex["word"], "left").groupBy("query", "period", "change", F.coalesce("domain", F.lit("untagged")).alias("domain")).agg(F.count("*").alias("words"))
+
+
 def knn(vectors: DataFrame, words: list[str], k: int) -> DataFrame:
     """The k nearest words of each query word in each period; a zero vector has none."""
     return nearest(vectors, pick(vectors, words), k)

@@ -241,7 +241,7 @@ def label_weighted_trend(spark, d):
 
 @query()
 def label_trend_pvalue(spark, d):
-    return labels.weighted_trend(labels.shares(_counts(spark, d))).select("slope", "z", labels.two_sided_p(F.col("z")).alias("p"))
+    return labels.weighted_trend(labels.shares(_counts(spark, d))).select("slope", "z", stats.two_sided_p(F.col("z")).alias("p"))
 
 
 @query(f"WITH k AS (SELECT unnest(['positive_liberty', 'negative_liberty', 'ambiguous', 'other', 'missing', 'error']) AS l), n AS (SELECT {_NORM.format('haiku')} AS predicted, {_NORM.format('opus')} AS truth, count(*)::BIGINT AS n FROM opus_vs_haiku GROUP BY ALL) SELECT x.l AS predicted, y.l AS truth, coalesce(n, 0)::BIGINT AS n FROM k x CROSS JOIN k y LEFT JOIN n ON x.l = predicted AND y.l = truth")
@@ -578,7 +578,7 @@ def semaxis_trend_expanded(spark, d):
 
 @query()
 def zscore_vs_controls_expanded(spark, d):
-    return stats.against_controls(stats.trend(_expanded_projection(spark, d)), "series", "w1")
+    return stats.against_controls(stats.trend(_expanded_projection(spark, d)), "series", "w1", digits=8)
 
 
 @query()
@@ -588,7 +588,7 @@ def changepoint_bic_expanded(spark, d):
 
 @query()
 def permutation_trend(spark, d):
-    return stats.permutation_trend(_expanded_projection(spark, d))
+    return stats.permutation_trend(_expanded_projection(spark, d)).withColumn("slope", F.round("slope", 9))
 
 
 @query()
@@ -596,15 +596,18 @@ def bootstrap_cluster(spark, d):
     v = _vec(spark, d)
     t = v.where("word = 'w1'").select("period", F.col("vec").alias("tv"))
     members = temporal.pick(v, [w for ws in CLUSTERS.values() for w in ws]).join(t, "period")
-    return stats.bootstrap_mean(members.select(F.col("period").alias("series"), V.cosine_distance(F.col("vec"), F.col("tv")).alias("y")))
+    boot = stats.bootstrap_mean(members.select(F.col("period").alias("series"), V.cosine_distance(F.col("vec"), F.col("tv")).alias("y")))
+    return boot.select("series", *[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper", "std")])
 
 
 @query()
 def bootstrap_pair(spark, d):
-    v = temporal.pick(_vec(spark, d), ["w1", "w2"])
-    noise = _knn(spark, d).where("query = 'w1'").groupBy("period").agg((0.1 * F.stddev_pop(1 - F.col("similarity"))).alias("noise"))
-    a, b = v.where("word = 'w1'").select("period", F.col("vec").alias("a")), v.where("word = 'w2'").select("period", F.col("vec").alias("b"))
-    return stats.perturbed_similarity(a.join(b, "period").join(noise, "period").select(F.col("period").alias("series"), "a", "b", "noise"))
+    v = _vec(spark, d)
+    near = temporal.knn(v, sorted({w for p in PAIRS for w in p}), 10).groupBy("period", F.col("query").alias("word")).agg(F.stddev_pop(1 - F.col("similarity")).alias("spread"), F.count("*").alias("near"))
+    one = v.join(near, ["period", "word"], "left").select("period", "word", "vec", F.coalesce("spread", F.lit(0.0)).alias("spread"), F.coalesce("near", F.lit(0)).alias("near"))
+    side = lambda x: one.select("period", *[F.col(c).alias(n) for c, n in (("word", x), ("vec", f"v{x}"), ("spread", f"spread_{x}"), ("near", f"near_{x}"))])
+    pairs = spark.createDataFrame(PAIRS, "a string, b string").join(side("a"), "a").join(side("b"), ["period", "b"])
+    return stats.perturbed_similarity(pairs.select(F.concat_ws(" ", "a", "b", "period").alias("series"), F.col("va").alias("a"), F.col("vb").alias("b"), "spread_a", "spread_b", "near_a", "near_b"))
 
 
 @query()
@@ -612,7 +615,8 @@ def seed_sensitivity(spark, d):
     v = _vec(spark, d)
     trials = {f"{i}-{j}": (POLE_A[:i] + POLE_A[i + 1 :], POLE_B[:j] + POLE_B[j + 1 :]) for i in range(len(POLE_A)) for j in range(len(POLE_B))}
     axes = temporal.expanded_axes(v, trials, REFERENCE_PERIOD, EXPANSION_K)
-    return stats.seed_sensitivity(temporal.pick(v, ["w1"]).crossJoin(axes).select("trial", F.col("period").alias("x"), V.dot(F.col("vec"), F.col("axis")).alias("y")))
+    got = stats.seed_sensitivity(temporal.pick(v, ["w1"]).crossJoin(axes).select("trial", F.col("period").alias("x"), V.dot(F.col("vec"), F.col("axis")).alias("y")))
+    return got.select("trials", "positive", *[F.round(c, 6).alias(c) for c in ("mean", "std", "lower", "upper")])
 
 
 @query()
@@ -660,7 +664,7 @@ def series_five_year_bins(spark, d):
 
 @query(f"{_YS}, r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY year) AS i, row_number() OVER (PARTITION BY series ORDER BY year DESC) AS j FROM ys) SELECT series, round(avg(value) FILTER (j <= 3) / avg(value) FILTER (i <= 3), 6) AS growth, arg_max(year, {{'v': value, 'y': -year}}) AS peak_year, max(value) AS peak FROM r GROUP BY series HAVING count(*) >= 3")
 def series_growth_peak(spark, d):
-    return series.growth(_series(spark, d), ends=3)
+    return series.growth(_series(spark, d), ends=3, least=3)
 
 
 @query(f"{_YS} SELECT series, round((arg_max(value, year) - max(value) FILTER (year = 1996)) / max(value) FILTER (year = 1996) * 100, 4) AS pct, round(arg_max(value, year) / max(value) FILTER (year = 1996), 6) AS multiple FROM ys GROUP BY series HAVING max(value) FILTER (year = 1996) > 0")

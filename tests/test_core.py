@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronolex.functions import text as X
 from chronolex.functions import vectors as V
 from chronolex.operators import corpus, labels, series, stats, temporal
-from chronolex.plans import catalogue
+from chronolex.plans import catalogue, records, spaces  # noqa: F401
 from chronolex.sources import readers
 from chronolex.streaming import labels as live
 
@@ -70,8 +70,8 @@ def test_weighted_trend_ends(spark):
 def test_wilson_and_p(spark):
     df = spark.createDataFrame([(0.0, 0.0), (3.0, 10.0)], "x double, n double").select(*[c.alias(a) for c, a in zip(labels.wilson(F.col("x"), F.nullif(F.col("n"), F.lit(0.0))), "pab")])
     assert [tuple(r) for r in df.collect()] == [(None, None, None), (0.3, 0.107789, 0.603227)]
-    z = spark.createDataFrame([(1.96,)], "z double").select(labels.two_sided_p(F.col("z")).alias("p")).first().p
-    assert z == pytest.approx(math.erfc(1.96 / math.sqrt(2)))
+    z = spark.createDataFrame([(1.96,)], "z double").select(stats.two_sided_p(F.col("z")).alias("p")).first().p
+    assert z == pytest.approx(math.erfc(1.96 / math.sqrt(2)), abs=1e-6)
 
 
 def test_missing_ranges(spark):
@@ -224,6 +224,110 @@ def test_xml_readers(spark, tmp_path):
     assert (got.date, got.person_id, got.speaker) == ("2001-02-03", "p1", "Mr A") and "three" not in got.text and "Five." in got.text
 
 
+def test_archive_years(spark, tmp_path):
+    page = "<r><p><membercontribution>twenty characters at least</membercontribution></p></r>"
+    for name in ("S5V0500P0", "S5V0020P0", "xxS3V0178P0", "S9V0001P0"):
+        (tmp_path / f"{name}.xml").write_text(page)
+    assert {(r.source_file, r.year) for r in readers.read_archive_xml(spark, f"{tmp_path}/*.xml").collect()} == {("S5V0020P0", 1910)}
+    assert {r.year for r in readers.read_archive_xml(spark, f"{tmp_path}/*.xml", before=None).collect()} == {1910, 1945}
+
+
+def test_binned_contexts_and_vectors(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    (tmp_path / "eebo_1500-1550.json").write_text(json.dumps([{"tcp_id": "a", "year": 1510, "title": "t", "text": "x y", "word_count": 2, "junk": 1}]))
+    assert [(r.tcp_id, r.bin) for r in readers.read_binned(spark, str(tmp_path)).collect()] == [("a", "1500-1550")]
+    assert readers.read_binned(spark, str(tmp_path), bin_label="1600-1650").count() == 0
+    (tmp_path / "freedom_contexts_b.json").write_text(json.dumps([{"year": 1510, "title": "t", "context_count": 1, "contexts": [{"left_context": "l", "right_context": "r", "full_context": "f"}]}]))
+    assert [tuple(r) for r in readers.read_contexts(spark, str(tmp_path)).collect()] == [("b", 1510, "t", "l", "r", "f")]
+    np.save(tmp_path / "1900-w.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    np.save(tmp_path / "1910-w.npy", np.zeros((1, 2), np.float32))
+    (tmp_path / "1900-vocab.json").write_text('["a", "b", "c"]')
+    got = readers.read_saved_vectors(spark, str(tmp_path))
+    assert {(r.period, r.word, tuple(r.vec)) for r in got.collect()} == {(1900, "a", (0, 1)), (1900, "b", (2, 3)), (1900, "c", (4, 5))}
+    readers.write_vectors(got, spark.createDataFrame([("a", 5), ("b", 9), ("c", 1)], "word string, n long"), f"{tmp_path}/out", most=2)
+    assert {r.word for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"a", "b"}
+
+
+def test_label_files(spark, tmp_path):
+    t = dt.datetime
+    kind = "id string, label string, labelled_at timestamp, notes string"
+    mine = spark.createDataFrame([("a", "other", t(2024, 1, 1), 'say "no"'), ("b", "other", t(2024, 1, 3), None)], kind)
+    readers.write_labels(mine, f"{tmp_path}/csv")
+    text = next((tmp_path / "csv").glob("part*")).read_text()
+    assert text.startswith("id,label,timestamp,notes") and '"say ""no"""' in text
+    new = spark.createDataFrame([("a", "ambiguous", t(2024, 1, 1), None), ("b", "ambiguous", t(2024, 1, 2), None), ("c", "other", t(2024, 1, 1), None)], kind)
+    assert {(r.id, r.label) for r in readers.import_labels(mine, new).collect()} == {("a", "ambiguous"), ("b", "other"), ("c", "other")}
+    readers.write_result(mine, f"{tmp_path}/res")
+    assert len(list((tmp_path / "res").glob("part*"))) == 1
+    sheet = readers.annotation_rows(spark.createDataFrame([("a", 1905, None), ("b", None, "x")], "id string, year int, sentence string")).collect()
+    assert len(sheet) == 1 and sheet[0].decade == 1900 and sheet[0].sentence == sheet[0].annotator_1 == ""
+
+
+def test_from_sentence_files_to_trends(spark, tmp_path):
+    import json
+
+    record = lambda y, l: {"id": "x", "year": y, "party": "P", "methods": {"llm": json.dumps({"label": l})}}
+    rows = [record(y, "positive_liberty") for y, n in ((1900, 10), (1910, 30), (1920, 50)) for _ in range(n)] + [record(y, "negative_liberty") for y, n in ((1900, 90), (1910, 70), (1920, 50)) for _ in range(n)]
+    (tmp_path / "sentences_1900s.json").write_text(json.dumps(rows))
+    sent = readers.read_sentence_json(spark, f"{tmp_path}/sentences_*s.json")
+    counts = labels.counts_by_decade(sent.withColumn("haiku", F.get_json_object(F.col("methods")["llm"], "$.label")))
+    got = {r.test: r for r in labels.weighted_trends(labels.trend_points(counts, 1)).collect()}
+    first = got["positive_share_of_positive_negative"]
+    assert set(got) == set(labels.TESTS) and first.slope == pytest.approx(2.0) and (first.first_share, first.last_share) == (0.1, 0.5)
+    assert got["negative_share_of_substantive"].slope == pytest.approx(-2.0) and got["ambiguous_share_of_substantive"].z == 0
+    m = labels.manifest(sent, index_total=300).first()
+    assert (m.total, m.stale_methods, m.stale_removed, m.index_matches, m.llm_labels_present) == (300, "", True, True, 300)
+    stale = labels.manifest(sent.withColumn("methods", F.map_concat("methods", F.create_map(F.lit("from_to"), F.lit("to"))))).first()
+    assert (stale.stale_methods, stale.stale_removed, stale.index_matches) == ("from_to", False, None)
+
+
+def test_growth_needs_ten_years(spark):
+    rows = [("nine", 2000 + i, 1.0) for i in range(9)] + [("zero", 2000 + i, float(i > 4)) for i in range(10)] + [("up", 2000 + i, 1.0 + (i > 4)) for i in range(10)]
+    got = series.growth(spark.createDataFrame(rows, "series string, year int, value double"))
+    assert {r.series: r.growth for r in got.collect()} == {"zero": float("inf"), "up": 2.0}
+    assert [r.series for r in series.growth_rank(got).orderBy("place").collect()] == ["zero", "up"]
+
+
+def test_perturbation_takes_each_spread(spark):
+    kind = "series string, a array<double>, b array<double>, spread_a double, spread_b double, near_a int, near_b int"
+    a, b = [1.0, 0.0, 0.5], [0.5, 1.0, 0.0]
+    rows = [("still", a, b, 0.0, 0.0, 10, 10), ("one", a, b, 0.5, 0.0, 10, 10), ("other", a, b, 0.0, 0.5, 10, 10), ("few", a, b, 0.5, 0.5, 4, 10), ("zero", a, [0.0] * 3, 0.0, 0.0, 9, 9)]
+    df = spark.createDataFrame(rows, kind)
+    got = {r.series: r for r in stats.perturbed_similarity(df).collect()}
+    assert got["still"].std < 1e-12 < min(got["one"].std, got["other"].std) and got["few"].lower is None and got["zero"].point == 0
+    assert {r.series: r.lower for r in stats.perturbed_similarity(df.repartition(3)).collect()} == {k: r.lower for k, r in got.items()}
+
+
+def test_kappa_and_facets(spark):
+    p, n = "positive_liberty", "negative_liberty"
+    df = spark.createDataFrame([(p, p), (p, p), (n, n), (p, n), (p, None), ("junk", p)], "haiku string, opus string")
+    k = labels.kappa(df, "haiku", "opus").first()
+    assert (k.n, k.agreement, k.kappa) == (4, 0.75, 0.5) and k.alpha == pytest.approx(1 - 0.25 / (1 - (5 * 4 * 2 - 5 * 4 + 3 * 2) / 56), abs=0.2)
+    assert labels.kappa(df.where("false"), "haiku", "opus").first().kappa is None
+
+
+def test_versions_move_once(spark):
+    kind = "struct<label:string,rationale:string,model:string,version:string>"
+    rows = [("a", ("x", "", "m", "v1"), None), ("b", ("x", "", "m", "v2"), None), ("c", ("y", "", "m", "v1"), ("old", "", "m", "v0")), ("d", None, None)]
+    got = labels.with_version(spark.createDataFrame(rows, f"id string, llm {kind}, llm_v1 {kind}"), spark.createDataFrame([("a", "new", "r")], "id string, label string, rationale string"), "v2", "m2")
+    assert {(r.id, r.llm.label, r.llm_v1.label if r.llm_v1 else None) for r in got.collect()} == {("a", "new", "x"), ("b", "error", None), ("c", "error", "old"), ("d", "error", None)}
+
+
+def test_places_are_stable(spark):
+    df = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "k long").repartition(7)
+    assert {(r.k, r.custom_id) for r in labels.by_position(df, ["k"]).collect()} == {(i, f"i-{i:06d}") for i in range(1000)}
+
+
+def test_numbering_in_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 3, [0.0]) for i in range(50)], "vec_id long, label int, embedding array<float>")
+    whole = {tuple(r) for r in temporal.keyed_words(df).select("vec_id", "word").collect()}
+    monkeypatch.setattr(temporal, "NUMBERED_TOGETHER", 7)
+    assert {tuple(r) for r in temporal.keyed_words(df).select("vec_id", "word").collect()} == whole == {(i, f"w{i // 3 + 1}") for i in range(50)}
+
+
 def test_csv_json_glove(spark, tmp_path):
     (tmp_path / "s.csv").write_text('speech_date,speech,party,extra\n2001-01-01,"long enough, yes",P,1\n,short,P,2\n')
     assert [tuple(r) for r in readers.read_speech_csv(spark, f"{tmp_path}/s.csv").collect()] == [("2001-01-01", 2001, None, "P", "long enough, yes")]
