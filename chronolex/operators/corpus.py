@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from chronolex.functions import text as X
 
 TARGETS = ("freedom", "liberty")
-# Words that carry no meaning of their own.
-STOPWORDS = ("the", "and", "that", "for", "with", "was", "this", "from", "are", "not", "but", "have", "has", "had", "his", "her", "its", "our", "their", "they", "them", "which", "who", "will", "would", "shall", "should", "could", "can", "may", "might", "must", "been", "were", "any", "all", "one", "upon", "into", "than", "there", "what", "when", "hon", "right")
+# The English list of the Snowball project as Spark's StopWordsRemover ships it, words of three plain letters or more.
+STOPWORDS = tuple(
+    (
+        "myself our ours ourselves you your yours yourself yourselves him his himself she her hers herself its itself they them their theirs themselves what which who whom this "
+        "that these those are was were been being have has had having does did doing the and but because until while for with about against between into through during before "
+        "after above below from down out off over under again further then once here there when where why how all any both each few more most other some such nor not only own same "
+        "than too very can will just don should now cannot could ought would "
+    ).split()
+)
 # The default profile of domains, in order of precedence.
 LEXICON = {
     "government": "committee house member minister bill clause vote governor motion amendment", "commerce": "trade toll rate tariff canal dock ferry wharf market fund",
@@ -74,14 +81,14 @@ def first_contexts(df: DataFrame, word: str, per_decade: int = 5, least: int = 2
     return one.withColumn("n", n).where(F.col("n") <= per_decade).select("decade", "speech_id", "context")
 
 
-def collocate_counts(df: DataFrame, targets=TARGETS, window: int = 10) -> DataFrame:
+def collocate_counts(df: DataFrame, targets=TARGETS, window: int = 10, stopwords=STOPWORDS) -> DataFrame:
     """``(word, decade, collocate, n)``: words near each target; overlapping windows count twice."""
     toks = df.where(X.has_word(F.col("text"), targets[0]) | X.has_word(F.col("text"), targets[1])).select("decade", X.words(F.col("text")).alias("w"))
     hit = toks.select("decade", "w", F.explode(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).isin(*targets))).alias("at")).where(F.size("w") > 0)
     low = F.greatest(F.col("at") - window, F.lit(1))
     near = F.concat(F.slice("w", low, F.col("at") - low), F.slice("w", F.col("at") + 1, window))
     pairs = hit.select("decade", F.element_at("w", F.col("at")).alias("word"), F.explode(near).alias("collocate"))
-    return pairs.where((F.length("collocate") > 2) & ~F.col("collocate").isin(*STOPWORDS) & (F.col("collocate") != F.col("word"))).groupBy("word", "decade", "collocate").agg(F.count("*").alias("n"))
+    return pairs.where((F.length("collocate") > 2) & ~F.col("collocate").isin(*stopwords) & (F.col("collocate") != F.col("word"))).groupBy("word", "decade", "collocate").agg(F.count("*").alias("n"))
 
 
 def top_collocates(counts: DataFrame, k: int = 20) -> DataFrame:
@@ -114,11 +121,11 @@ def sentence_domains(sentences: DataFrame, lex: DataFrame, top: int = 2) -> Data
     return g.select("speech_id", "idx", F.map_from_entries("d").alias("domains"), first.alias("top"))
 
 
-def kwic_collocates(contexts: DataFrame, normalise: bool = False) -> DataFrame:
+def kwic_collocates(contexts: DataFrame, normalise: bool = False, stopwords=STOPWORDS) -> DataFrame:
     """``(word, n)``: words of both sides of contexts, without short and empty ones; early spelling may be made modern first."""
     both = F.concat_ws(" ", "left_context", "right_context")
     words = contexts.select(F.explode(X.words(X.normalise_spelling(both) if normalise else both)).alias("word"))
-    return words.where((F.length("word") > 2) & ~F.col("word").isin(*STOPWORDS)).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where((F.length("word") > 2) & ~F.col("word").isin(*stopwords)).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def kwic(df: DataFrame, key: str, text: str, words=TARGETS, span: int = 10) -> DataFrame:

@@ -25,19 +25,41 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    The setting is read from the session.  Where it is unset (tests, a laptop) a
-    temporary folder is made for this process and removed at its end.
+    The setting is read from the session.  Where it is unset, a local session (tests, a
+    laptop) gets a temporary folder of this process; on a cluster that is an error, as no
+    folder of the driver's machine can be read elsewhere.  ``release`` removes the folders.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="chronolex-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/written-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release, spark)
+    _made.append(f"{base.rstrip('/')}/written-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the folders that ``shared_dir`` gave out, once no result that reads them is needed; runs at exit too."""
+    done = 0
+    try:
+        jvm = spark._jvm
+        while _made:
+            path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+            done += path.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the engine may be gone at exit; the folders then stay
+        pass
+    return done
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:

@@ -321,6 +321,30 @@ def test_places_are_stable(spark):
     assert {(r.k, r.custom_id) for r in labels.by_position(df, ["k"]).collect()} == {(i, f"i-{i:06d}") for i in range(1000)}
 
 
+def test_written_folders_are_released(spark):
+    from chronolex import runtime
+
+    kept = list(runtime._made)
+    try:
+        runtime._made.clear()
+        df = runtime.written(spark.range(5).toDF("x"))
+        assert df.count() == 5 and len(runtime._made) == 1 and runtime.release(spark) == 1
+        with pytest.raises(Exception):
+            df.sparkSession.read.parquet(df.inputFiles()[0]).count()
+    finally:
+        runtime._made[:] = kept
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from chronolex import runtime
+
+    sc = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        runtime.shared_dir(SimpleNamespace(sparkContext=sc))
+
+
 def test_numbering_in_ranges(spark, monkeypatch):
     df = spark.createDataFrame([(i, i % 3, [0.0]) for i in range(50)], "vec_id long, label int, embedding array<float>")
     whole = {tuple(r) for r in temporal.keyed_words(df).select("vec_id", "word").collect()}
