@@ -9,12 +9,15 @@ leaves in ascending projected distance and verifies their points on the full vec
 it stops when the chi-square test says that what lies farther off in the projection
 holds a better neighbour with a probability below ``1 - confidence``.
 
-Layout: the top of the tree is fitted on a bounded sample (``SAMPLE_ROWS`` per space);
-a row's cell follows from the tree alone.  A cell is one task of one shuffle and is
-written as rows of leaves to the shared folder; the search reads its query leaves from
-that table and fetches the cells it needs from the same files, so vectors are shuffled
-once, no pair of all vectors is formed and nothing that grows with the data is
-broadcast: the directory of cells has at most ``SAMPLE_ROWS / 16`` entries a space.
+Layout: the top of the tree is fitted on a bounded sample, ``SAMPLE_A_CELL`` rows for
+each cell that a space needs, ``SAMPLE_TOTAL`` for all spaces together; a space of one
+cell needs none.  A row's cell follows from the tree alone.  A cell is one task of one
+shuffle and is written as rows of leaves to the shared folder; the search reads its
+query leaves from that table and fetches the cells it needs from the same files, so
+vectors are shuffled once and no pair of all vectors is formed.  What is broadcast is
+the trees and the directory of cells, which have at most ``SAMPLE_TOTAL / 16`` cells of
+more than one a space; beyond ``SAMPLE_TOTAL / SAMPLE_A_CELL`` cells these hold more
+points each.  A cell's queries look only at the cells whose boxes their own box can reach.
 
 Exact copies share one entry that carries the k+1 smallest keys; that many decide every
 top-k list, and the remaining copies take theirs from the entry by a join.  A group of
@@ -36,13 +39,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.runtime import shared_dir
 
-#: Rows of a space on which the top of its tree is fitted, at most.
-SAMPLE_ROWS = 65_536
+#: Rows on which the tops of the trees are fitted: for each cell, and for all spaces together.
+SAMPLE_A_CELL = 64
+SAMPLE_TOTAL = 1_000_000
 #: Points wanted in a cell and, at most, in a leaf.
 CELL_POINTS = 4096
 LEAF_POINTS = 512
@@ -169,11 +174,33 @@ def _group_copies(raw: np.ndarray, keys: list[np.ndarray], counts: np.ndarray, k
     return raw[first], [np.sort(np.concatenate(x))[:k1] if len(x) > 1 else x[0] for x in merged], total
 
 
+def box_gaps(lo: np.ndarray, hi: np.ndarray, los: np.ndarray, his: np.ndarray) -> np.ndarray:
+    """Squared distance of one box to every box."""
+    gap = np.maximum(np.maximum(los - hi, lo - his), 0)
+    return (gap * gap).sum(axis=1)
+
+
+#: How file systems of the engine are called by the reader of the index on the executors.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
+def index_uri(path: str) -> str:
+    """The address under which executors open a folder of the engine: other names of the same stores are mapped."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{path}"
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return f"{_SCHEMES.get(scheme, scheme)}:{rest}"
+
+
 class _Cells:
     """Cells of the written index, fetched from the shared folder and held for a while."""
 
     def __init__(self, path: str, dim: int, proj: np.ndarray):
-        self.path, self.dim, self.proj = path, dim, proj
+        self.path, self.dim, self.proj, self.fs = path, dim, proj, None
         self.held: OrderedDict = OrderedDict()
 
     def get(self, s: int, cell: int) -> dict:
@@ -183,7 +210,9 @@ class _Cells:
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
-        fs, root = pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        if self.fs is None:
+            self.fs = pafs.FileSystem.from_uri(index_uri(self.path))
+        fs, root = self.fs
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/s={s}/cell={cell}")) if f.path.endswith(".parquet")]
         t = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(columns=["points", "vec", "key_counts", "keys", "lo", "hi"]) for f in files])
         raw = np.concatenate([np.frombuffer(x, np.float32) for x in t["vec"].to_pylist()]).reshape(-1, self.dim)
@@ -259,15 +288,21 @@ def search_cell(cells: _Cells, directory, s: int, cell: int, k: int, stop: float
     asked = np.hstack([proj, np.ones((len(proj), 1), np.float32)])
     best = _Best(len(unit), k + 9, k)  # itself, k others, and 8 to spare
     error = (unit.shape[1] + 4) * 2.0**-24  # of a cosine in single precision, at most
-    far = box_distance(proj, lo, hi)
-    order = np.argsort(far.min(axis=0), kind="stable")
+    gaps = box_gaps(proj.min(axis=0), proj.max(axis=0), lo, hi)  # no query is nearer to a box than its cell's box
+    order = np.argsort(gaps, kind="stable")
+    far: dict[int, np.ndarray] = {}
     open_ = np.arange(len(unit))
     inner = np.full(len(unit), -1.0, np.float32)  # what lies this near has been verified
     outer = np.full(len(unit), stop * FIRST_RADIUS, np.float32)
     everything = stop * 4  # no two unit vectors are farther apart
     while len(open_):
+        reach = outer[open_].max()
         for c in order:
-            want = open_[far[open_, c] <= outer[open_]]
+            if gaps[c] > reach * 1.00001:  # single precision
+                break
+            if c not in far:
+                far[c] = box_distance(proj, lo[c : c + 1], hi[c : c + 1])[:, 0]
+            want = open_[far[c][open_] <= outer[open_]]
             if not len(want):
                 continue
             other = cells.get(s, int(numbers[c]))
@@ -313,8 +348,10 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     stop = chi_square_quantile(confidence, m)
     k1 = k + 1
     kind = rows.schema["space"].dataType.simpleString()
-    share = [[F.lit(s), F.lit(min(1.0, SAMPLE_ROWS / n))] for s, n in count.items() if s is not None]
-    wanted = F.coalesce(F.element_at(F.create_map(*[x for p in share for x in p]), F.col("space")) if share else F.lit(None), F.lit(min(1.0, SAMPLE_ROWS / max(1, count.get(None, 1)))))
+    # a space of one cell needs no tree, another a few rows for each of its cells
+    several = sum(n for n in count.values() if n > CELL_POINTS)
+    rate = min(SAMPLE_A_CELL / CELL_POINTS, SAMPLE_TOTAL / max(1, several))
+    big = spark.createDataFrame([(x,) for x, n in count.items() if n > CELL_POINTS], f"space {kind}")
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,11 +360,14 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
 
     hashed = F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 33) / float(2**31)
     sampled: dict = {}
-    for r in rows.where(hashed < wanted).select("space", "vec").mapInArrow(project, f"space {kind}, p binary").collect():
+    drawn = rows.where(hashed < rate).select("space", "vec").alias("r").join(F.broadcast(big.alias("b")), F.col("r.space").eqNullSafe(F.col("b.space")), "left_semi")  # at most one line for each CELL_POINTS rows, and MOST_SPACES
+    for r in drawn.mapInArrow(project, f"space {kind}, p binary").collect():
         sampled.setdefault(r["space"], []).append(r["p"])
-    trees = {s: grow(np.frombuffer(b"".join(p), np.float32).reshape(-1, m), max(1, min(-(-count[s] // CELL_POINTS), len(p) // 16))) for s, p in sampled.items()}
+    trees = spark.sparkContext.broadcast({s: grow(np.frombuffer(b"".join(p), np.float32).reshape(-1, m), max(1, min(-(-count[s] // CELL_POINTS), len(p) // 16))) for s, p in sampled.items()})
+    numbers = spark.sparkContext.broadcast(names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = numbers.value
         for batch in batches:
             at, raw = _usable(batch.column(2), dim)
             own = batch.column(0).take(pa.array(at)).to_pylist()
@@ -336,7 +376,7 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
             for name in set(own):
                 i = np.flatnonzero(label == names[name])
                 vec, keys, copies = _group_copies(raw[i], [x for x in ids[i][:, None]], np.ones(len(i), np.int64), k1)
-                tree = trees.get(name) or [(-1, 0.0, 0, 0)]
+                tree = trees.value.get(name) or [(-1, 0.0, 0, 0)]
                 cell = descend(tree, _unit(vec) @ proj)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(vec), names[name], np.int32)), pa.array(cell), pa.array([x.tobytes() for x in vec], pa.binary()), pa.array([x.astype(np.int64).tobytes() for x in keys], pa.binary()), pa.array(copies)],
@@ -366,13 +406,13 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     for r in index.groupBy("s", "cell").agg(F.first("cell_lo").alias("lo"), F.first("cell_hi").alias("hi"), F.max("most_copies").alias("copies")).orderBy("s", "cell").collect():
         directory.setdefault(r["s"], []).append((r["cell"], r["lo"], r["hi"]))
         crowded |= r["copies"] > k1
-    boxes = {s: (np.array([c for c, _, _ in x], np.int32), *(np.stack([np.frombuffer(y[i], np.float32) for y in x]) for i in (1, 2))) for s, x in directory.items()}
+    boxes = spark.sparkContext.broadcast({s: (np.array([c for c, _, _ in x], np.int32), *(np.stack([np.frombuffer(y[i], np.float32) for y in x]) for i in (1, 2))) for s, x in directory.items()})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells(path, dim, proj)
         for batch in batches:
             for s, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                best = search_cell(cells, boxes[s], s, cell, k, stop)
+                best = search_cell(cells, boxes.value[s], s, cell, k, stop)
                 yield from _ranked(cells, s, cell, best, k, crowded)
 
     asked = index.where("leaf = 0").select("s", "cell")
@@ -380,7 +420,7 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     lists = found.where("copies_of is null").drop("copies_of")
     if not crowded:
         return lists
-    return lists.unionByName(_further_copies(rows, found, index, k1, dim, names))
+    return lists.unionByName(_further_copies(rows, found, index, k1, dim, numbers))
 
 
 def _ranked(cells: _Cells, s: int, cell: int, best: _Best, k: int, crowded: bool) -> Iterator[pa.RecordBatch]:
@@ -439,13 +479,13 @@ def _digest(s: int, vector: np.ndarray) -> bytes:
     return hashlib.blake2b(vector.tobytes(), digest_size=16, salt=int(s).to_bytes(8, "little")).digest()
 
 
-def _further_copies(rows: DataFrame, found: DataFrame, index: DataFrame, k1: int, dim: int, names: dict) -> DataFrame:
+def _further_copies(rows: DataFrame, found: DataFrame, index: DataFrame, k1: int, dim: int, numbers: Broadcast) -> DataFrame:
     """Lists of the copies whose key is not among the k1 smallest of their vector."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, raw = _usable(batch.column(2), dim)
-            label = [names[x] for x in batch.column(0).take(pa.array(at)).to_pylist()]
+            label = [numbers.value[x] for x in batch.column(0).take(pa.array(at)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array([_digest(s, x) for s, x in zip(label, raw)], pa.binary())], names=["key", "copies_of"])
 
     def crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,3 +71,31 @@ def test_empty(spark):
 def test_quantile(m):
     draws = (np.random.default_rng(0).standard_normal((200_000, m)) ** 2).sum(axis=1)
     assert (draws <= N.chi_square_quantile(0.9, m)).mean() == pytest.approx(0.9, abs=0.005)
+
+
+def test_many_spaces(spark):
+    r = np.random.default_rng(7)
+    v = r.standard_normal((4000, 8)).astype(np.float32)
+    rows = [(i, f"s{i % 2000}", x.tolist()) for i, x in enumerate(v)]
+    assert run(spark, rows) == {i: [(i + 2000) % 4000] for i in range(4000)}
+
+
+def test_a_small_sample_keeps_recall(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_POINTS", 64)
+    monkeypatch.setattr(N, "SAMPLE_TOTAL", 200)  # of 900 rows, so cells hold more points
+    rows = make(900, 3)
+    want, got = brute(rows, 10), run(spark, rows)
+    assert sum(len(set(want[k]) & set(got[k])) for k in want) >= 0.99 * sum(map(len, want.values()))
+
+
+def test_boxes_never_hide_a_point():
+    r = np.random.default_rng(2)
+    p, lo = r.standard_normal((50, 5)), r.standard_normal((30, 5))
+    hi = lo + r.random((30, 5))
+    gaps = N.box_gaps(p.min(axis=0), p.max(axis=0), lo, hi)
+    assert (gaps <= N.box_distance(p, lo, hi).min(axis=0) + 1e-6).all()
+
+
+@pytest.mark.parametrize(("path", "uri"), [("/a/b", "file:///a/b"), ("file:/a", "file:///a"), ("file:///a", "file:///a"), ("s3a://b/k", "s3://b/k"), ("hdfs://n:9/x", "hdfs://n:9/x"), ("dbfs:/x/y", "file:///dbfs/x/y"), ("gs://b/k", "gs://b/k")])
+def test_addresses_of_the_index(path, uri):
+    assert N.index_uri(path) == uri
