@@ -37,6 +37,10 @@ def p3_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return termcounts.ngram_counts(table(spark, d, "speeches"), "speech_id", "speech", max_n=2).where("n = 2").select("term", "occurrences", "records")
 
 
+def p3_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    return termcounts.ngram_counts(table(spark, d, "speeches"), "speech_id", "speech", max_n=3).where("n = 3").select("term", "occurrences", "records")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     digital = table(spark, d, "speeches").where(~F.col("origin").eqNullSafe("archive"))
     return sentences.split_sentences(digital).select(F.col("key").alias("row_id"), "sent_end")
@@ -98,7 +102,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_membership(table(spark, d, "documents")).toDF("doc_id", "class_id", "texts")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_entities, p3_found, p3_terms, p3_bigrams, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_text, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_entities, p3_found, p3_terms, p3_bigrams, p3_trigrams, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_text, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
 
 _TERMS = """
 WITH rec AS (SELECT speech_id, min(speech) AS speech FROM speeches WHERE speech_id IS NOT NULL AND speech IS NOT NULL GROUP BY speech_id),
@@ -115,6 +119,11 @@ WITH rec AS (SELECT speech_id, min(speech) AS speech FROM speeches WHERE speech_
 arr AS (SELECT speech_id, regexp_extract_all(lower(speech), '[a-z]+') AS w FROM rec),
 big AS (SELECT speech_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM arr WHERE len(w) > 1)
 SELECT term, count(*)::BIGINT AS occurrences, count(DISTINCT speech_id)::BIGINT AS records FROM big GROUP BY term""",
+    "p3_trigrams": """
+WITH rec AS (SELECT speech_id, min(speech) AS speech FROM speeches WHERE speech_id IS NOT NULL AND speech IS NOT NULL GROUP BY speech_id),
+arr AS (SELECT speech_id, regexp_extract_all(lower(speech), '[a-z]+') AS w FROM rec),
+tri AS (SELECT speech_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS term FROM arr WHERE len(w) > 2)
+SELECT term, count(*)::BIGINT AS occurrences, count(DISTINCT speech_id)::BIGINT AS records FROM tri GROUP BY term""",
     "p5_found": """
 WITH rec AS (SELECT id, min({'decade': ((year // 10) * 10)::INTEGER, 'haiku': haiku}) AS s FROM opus_vs_haiku
   WHERE id IS NOT NULL AND year IS NOT NULL AND haiku IN ('negative_liberty', 'positive_liberty', 'ambiguous', 'other') GROUP BY id),

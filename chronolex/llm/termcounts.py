@@ -1,15 +1,18 @@
 """Occurrences and records of every term and n-gram of a collection (problem 3).
 
 Method: suffix array with common-prefix intervals.  The tokens of a block of records
-are one sequence; its suffixes are sorted (prefix doubling, as deep as the longest
-n-gram asked for) and the lengths of the common prefixes of neighbours cut the sorted
-array into one interval per distinct n-gram.  The length of an interval is the number
-of occurrences; the number of records is that length less the suffixes whose
-predecessor from the same record lies in the same interval.
+are one sequence; its suffixes are sorted whole (prefix doubling until all differ) and
+the lengths of the common prefixes of neighbours cut the sorted array into one interval
+per distinct n-gram, for every n asked for.  The length of an interval is the number of
+occurrences; the number of records is that length less the suffixes whose predecessor
+from the same record lies in the same interval.
 
 Records are not cut by blocks, so the counts of blocks add up.  They are summed inside
 each task, then by Spark with partial aggregation: what is shuffled is one line per
-distinct n-gram and task, however often the n-gram occurs, and no term is hot.
+distinct n-gram and task, however often the n-gram occurs, and no term is hot.  Texts
+are shuffled only for records that stand in several rows; the ids of those are found by
+a scan of the ids alone and broadcast up to ``BROADCAST_IDS``, beyond which all texts are
+grouped by id, with the same result.
 
 Defined results: a record is a distinct record id with a text that is not null; copies
 of a record count once; a null record id is no record; an empty text is a record
@@ -26,32 +29,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolex.runtime import spread, written
+
+#: Ids of repeated records that are broadcast, at most (some 16 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Code points whose suffixes are sorted together.
 BLOCK_CHARS = 4_000_000
 _KEEP = bytes(b if 97 <= b <= 122 else 10 if b == 10 else 32 for b in range(256))
 
 
 def suffix_array(tokens: np.ndarray, records: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and common-prefix lengths (capped at ``depth``) of a token sequence.
+    """Suffix order and common-prefix lengths (counted up to ``depth``) of a token sequence.
 
     ``tokens`` are numbers from 0, ``records`` the non-decreasing record of each token;
-    a suffix ends with its record.  ``lcp[i]`` belongs to the neighbours i-1 and i.
+    a suffix ends with its record, equal suffixes stay in the order of their positions.
+    ``lcp[i]`` belongs to the neighbours i-1 and i.
     """
     n = len(tokens)
-    rank = tokens.astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(tokens, kind="stable")
+    left = np.searchsorted(records, records, side="right") - np.arange(n)  # tokens to the end of the record
+    new = np.ones(n, bool)
+    new[1:] = tokens[order][1:] != tokens[order][:-1]
+    rank = np.empty(n, np.int64)  # where its group of equals begins in ``order``, from 1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    open_ = order[_tied(new)]  # suffixes that equal others so far and go on
     k = 1
-    while k < depth:
-        ahead = np.zeros(n, np.int64)
-        if n > k:
-            same = records[:-k] == records[k:]
-            ahead[:-k][same] = rank[k:][same]
-        pair = rank * (int(rank.max(initial=0)) + 1) + ahead
-        order = np.argsort(pair, kind="stable")
-        fresh = np.ones(n, np.int64)
-        fresh[1:] = pair[order][1:] != pair[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
+    while len(open_):
+        ahead = np.zeros(len(open_), np.int64)  # 0 sorts a suffix that ends here before those that go on
+        further = left[open_] > k
+        ahead[further] = rank[open_[further] + k]
+        pair = rank[open_] * (n + 1) + ahead
+        by = np.argsort(pair, kind="stable")
+        open_, pair, ahead = open_[by], pair[by], ahead[by]
+        group, place = rank[open_], np.arange(len(open_))
+        head = np.ones(len(open_), bool)
+        head[1:] = group[1:] != group[:-1]
+        new = np.ones(len(open_), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        begin = np.maximum.accumulate(np.where(head, place, 0))
+        order[group - 1 + place - begin] = open_  # a group is open as a whole
+        rank[open_] = group + np.maximum.accumulate(np.where(new, place, 0)) - begin
+        open_ = open_[_tied(new) & (ahead > 0)]
         k *= 2
     lcp = np.zeros(n, np.int32)
     a, b = order[:-1], order[1:]
@@ -65,6 +83,11 @@ def suffix_array(tokens: np.ndarray, records: np.ndarray, depth: int) -> tuple[n
     return order, lcp
 
 
+def _tied(new: np.ndarray) -> np.ndarray:
+    """Which sorted items equal a neighbour, given where a new value begins."""
+    return ~(new & np.append(new[1:], True))
+
+
 def count_block(tokens: np.ndarray, records: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each n up to ``max_n``: n, a first position, occurrences and records of every n-gram."""
     if not len(tokens):
@@ -114,9 +137,19 @@ def tokenise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, np.repeat(np.arange(len(counts)), counts), vocabulary
 
 
+def _one_text_a_record(df: DataFrame, record: str, text: str) -> DataFrame:
+    """``(t)``: the least text of every record; only repeated records are shuffled with their texts."""
+    rows = spread(df.select(F.col(record).alias("r"), F.col(text).alias("t")).where("r is not null and t is not null"))
+    repeated = written(df.select(F.col(record).alias("r")).where("r is not null").groupBy("r").count().where("count > 1").select("r"))
+    if repeated.count() > BROADCAST_IDS:
+        return rows.groupBy("r").agg(F.min("t").alias("t")).select("t")
+    ids = F.broadcast(repeated)
+    return rows.join(ids, "r", "left_anti").select("t").unionByName(rows.join(ids, "r", "left_semi").groupBy("r").agg(F.min("t").alias("t")).select("t"))
+
+
 def ngram_counts(df: DataFrame, record: str, text: str, *, max_n: int = 1) -> DataFrame:
     """``(n, term, occurrences, records)`` of every n-gram of up to ``max_n`` words."""
-    texts = df.where(F.col(record).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(record).alias("r")).agg(F.min(text).alias("t")).select("t")
+    texts = _one_text_a_record(df, record, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _blocks(batches):

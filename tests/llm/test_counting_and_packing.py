@@ -136,6 +136,27 @@ def test_intervals_equal_brute_force(texts, max_n):
     assert got == {k: (v, len(rec[k])) for k, v in occ.items()}
 
 
+@settings(deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=30), min_size=1, max_size=6))
+def test_suffixes_are_sorted_whole(texts):
+    tokens, records = np.array([t for x in texts for t in x], np.int64), np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    suffix = [tuple(x[i:]) for x in texts for i in range(len(x))]
+    order, lcp = termcounts.suffix_array(tokens, records, 3)
+    assert [suffix[i] for i in order] == sorted(suffix)
+    for a, b, n in zip(order, order[1:], lcp[1:]):
+        same = next((k for k, (x, y) in enumerate(zip(suffix[a], suffix[b])) if x != y), min(len(suffix[a]), len(suffix[b])))
+        assert n == min(3, same)
+
+
+def test_repeated_records_either_way(spark, monkeypatch):
+    rows = [(i % 40, f"word{chr(97 + i % 7)} again the {'x' * (i % 5)}") for i in range(40)] + [(3, "wordd again the xxx"), (5, None), (None, "lost"), (7, "wordh")]
+    df = spark.createDataFrame(rows, "speech_id long, speech string")
+    count = lambda: {tuple(r) for r in termcounts.ngram_counts(df, "speech_id", "speech", max_n=2).collect()}
+    one = count()
+    monkeypatch.setattr(termcounts, "BROADCAST_IDS", 0)
+    assert count() == one
+
+
 def test_marks(spark):
     rows = [(1, "The toll"), (1, "The toll"), (2, "the THE bar"), (3, "the"), (4, None), (5, ""), (None, "lost"), (6, "bar"), (7, "bar"), *[(i, "x1x") for i in range(8, 20)]]
     df = spark.createDataFrame([(*r, "t") for r in rows], "speech_id long, speech string, term string")
