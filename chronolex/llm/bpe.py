@@ -56,11 +56,25 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def pattern_of(tokenizer: dict) -> str:
+    """The pre-token pattern that a tokenizer file asks for; other ways of cutting texts are refused."""
+    pre = tokenizer.get("pre_tokenizer") or {}
+    if tokenizer.get("normalizer") is not None or tokenizer["model"].get("type", "BPE") != "BPE":
+        raise ValueError("only byte-level BPE without a normalizer is encoded")
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
+        return PRETOKEN
+    parts = pre.get("pretokenizers", []) if pre.get("type") == "Sequence" else []
+    if len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Isolated" and "Regex" in parts[0]["pattern"] and parts[1]["type"] == "ByteLevel" and not parts[1].get("use_regex", True) and not parts[1].get("add_prefix_space"):
+        return parts[0]["pattern"]["Regex"]
+    raise ValueError(f"pre-tokens of this kind are not known: {pre}")
+
+
 class PairIndexEncoder:
     """Encodes batches of distinct pre-tokens by a pair occurrence index."""
 
     def __init__(self, blob: bytes):
-        model = json.loads(blob)["model"]
+        tokenizer = json.loads(blob)
+        model = tokenizer["model"]
         vocab = model["vocab"]
         self.byte_id = [vocab[c] for c in _byte_letters()]
         self.merges: list[tuple[int, int, int]] = []
@@ -70,7 +84,7 @@ class PairIndexEncoder:
             self.merges.append((vocab[a], vocab[b], vocab[a + b]))
             self.rank[vocab[a], vocab[b]] = r
         self.known: dict[str, list[int]] = {}
-        self.split = regex.compile(PRETOKEN).findall
+        self.split = regex.compile(pattern_of(tokenizer)).findall
 
     def encode_distinct(self, words: list[str]) -> list[list[int]]:
         """Ids of each of ``words``, all merged together rank by rank."""

@@ -2,13 +2,15 @@
 
 Method: mixture-controlled packing.  Every source is a queue in a seeded random order.
 Deficit round-robin serves the queues in windows of ``window_containers`` containers:
-each window gives every source a quantum of tokens in proportion to its target share,
-a queue sends documents while its saved-up quanta cover the next one, and what is left
-(the deficit) is carried into the next window.  A document therefore leaves in the
-first window whose quanta so far cover the running total of its queue, so the window of
-every document follows from distributed prefix sums over (source, bucket) and no queue
-is ever walked by one task.  Inside a window, whose size is fixed by its quanta, the
-documents are packed best-fit decreasing.
+a window gives every queue that is not empty a quantum of tokens in proportion to its
+target share, a queue sends documents while its saved-up quanta cover the next one, and
+what is left (the deficit) is carried into the next window.  A document therefore leaves
+at the turn v at which share * v reaches the running total of its queue; by then all
+queues together have sent sum(min(tokens of a queue, its share * v)), and that sum over
+the tokens of a window is its window.  So the window of every document follows from
+distributed prefix sums over (source, bucket), deficits run on across windows, buckets
+and partitions, no queue is walked by one task, and when a queue ends the others fill
+the windows.  Inside a window the documents are packed best-fit decreasing.
 
 A document larger than the capacity is divided into full containers and one rest, and
 only the rest is packed with others.  No other document is divided.
@@ -59,8 +61,9 @@ def pack_items(items: DataFrame, *, capacity: int = CAPACITY, window_containers:
     Returns ``(key, source, piece, first_token, tokens, divided, window, slot)``: the piece
     of a document, where in it the piece begins, and its container (``window``, ``slot``).
     Full pieces of divided documents have a container of their own: window -1 and the
-    slot a hash of document and piece.  ``shares`` gives target shares by source (others
-    get none); by default a source's share is its share of all tokens.
+    slot a hash of document and piece.  ``shares`` gives target shares by source, of which
+    the driver learns the totals; sources without one are spread over all windows.  By
+    default a source's share is its share of all tokens.
     """
     items = items.where(F.col("tokens") > 0)
     cap = F.lit(capacity)
@@ -79,14 +82,19 @@ def pack_items(items: DataFrame, *, capacity: int = CAPACITY, window_containers:
 
     queue = part.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
     whole = queue.agg(F.sum("t").alias("all_t"))
-    if shares is None:
-        quantum = F.col("t") / F.col("all_t")
+    own_share = F.col("t") / F.col("all_t")
+    wanted = {k: v for k, v in (shares or {}).items() if v > 0}
+    if wanted:
+        target = F.element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.coalesce("source", F.lit("")))
+        totals = {r["source"]: float(r["t"]) for r in queue.where(F.col("source").isin(*wanted)).collect()}  # one line for each share given
+        rest = float((queue.agg(F.sum("t")).first()[0] or 0) - sum(totals.values()))
+        last = max((t / wanted[k] for k, t in totals.items()), default=1.0)  # the turn at which all are sent
+        share = F.coalesce(target, F.col("t") / last)
+        sent = sum((F.least(F.lit(t), F.lit(wanted[k]) * F.col("turn")) for k, t in totals.items()), F.least(F.lit(rest), F.lit(rest / last) * F.col("turn")))
     else:
-        quantum = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("source")), F.lit(0.0))
-    # a queue without a share is served at the pace at which it ends with the others
-    served = F.when(quantum > 0, quantum).otherwise(F.col("t") / F.col("all_t"))
-    pace = queue.crossJoin(whole).select("source", (served * window_containers * capacity).alias("quantum"), F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
-    placed = part.alias("p").join(pace.alias("q"), F.col("p.source").eqNullSafe(F.col("q.source"))).select("p.*", "quantum", F.pmod(F.shiftright("h", 20), F.col("buckets")).alias("bucket"))
+        share, sent = own_share, F.col("turn")
+    pace = queue.crossJoin(whole).select("source", share.alias("share"), F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
+    placed = part.alias("p").join(pace.alias("q"), F.col("p.source").eqNullSafe(F.col("q.source"))).select("p.*", "share", F.pmod(F.shiftright("h", 20), F.col("buckets")).alias("bucket"))
     before = (
         placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
         .select("source", "bucket", (F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t")).alias("before"))
@@ -94,7 +102,9 @@ def pack_items(items: DataFrame, *, capacity: int = CAPACITY, window_containers:
     line = Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
     run = placed.withColumn("run", F.sum("tokens").over(line))
     total = run.alias("r").join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))).select("r.*", (F.col("run") + F.col("before")).alias("total"))
-    windows = total.select("key", "source", "piece", (F.col("piece") * cap).alias("first_token"), F.col("tokens").cast("int").alias("tokens"), "divided", (F.ceil(F.col("total") / F.col("quantum")) - 1).cast("long").alias("window"))
+    turns = total.withColumn("turn", F.col("total") / F.col("share"))
+    window = F.greatest(F.ceil(F.round(sent / (window_containers * capacity), 9)) - 1, F.lit(0)).cast("long")
+    windows = turns.select("key", "source", "piece", (F.col("piece") * cap).alias("first_token"), F.col("tokens").cast("int").alias("tokens"), "divided", window.alias("window"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "key"], ascending=[False, True], kind="stable")
@@ -120,8 +130,20 @@ def report(placements: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return containers(placements).agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * capacity)).alias("filled"))
 
 
+def mixture(placements: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``(window, source, tokens, share, target, deviation)`` of each window of mixed containers.
+
+    The target is the source's share among those of ``shares`` that the window holds;
+    sources without a share have none and are left out of the others' shares.
+    """
+    target = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.coalesce("source", F.lit("")))
+    rows = placements.where("window >= 0").groupBy("window", "source").agg(F.sum("tokens").alias("tokens")).withColumn("wanted", target)
+    among = Window.partitionBy("window")
+    share = F.when(F.col("wanted").isNotNull(), F.col("tokens") / F.sum(F.when(F.col("wanted").isNotNull(), F.col("tokens"))).over(among))
+    aim = F.col("wanted") / F.sum("wanted").over(among)
+    return rows.select("window", "source", "tokens", F.round(share, 6).alias("share"), F.round(aim, 6).alias("target"), F.round(share - aim, 6).alias("deviation"))
+
+
 def divided(placements: DataFrame) -> DataFrame:
     """The documents that lie in more than one container."""
     return placements.where("divided").select("key").distinct()
-
-

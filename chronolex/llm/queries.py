@@ -58,6 +58,10 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return _quota(spark, d).sample()
 
 
+def p5_strata(spark: SparkSession, d: str) -> DataFrame:
+    return _quota(spark, d).report.select("decade", "haiku", "targeted", "available", "wanted")
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _quota(spark, d).report
 
@@ -94,6 +98,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(packing.pack(table(spark, d, "documents")))
 
 
+#: Wanted shares of the series of volumes.
+SERIES_SHARES = {"S1": 0.3, "S2": 0.2, "S3": 0.2, "S4": 0.2, "S5": 0.1}
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("source", 1, 2).alias("source"))
+    return packing.mixture(packing.pack(docs, window_containers=16, shares=SERIES_SHARES), SERIES_SHARES)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, d, "documents")).toDF("doc_a", "doc_b")
 
@@ -102,7 +115,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_membership(table(spark, d, "documents")).toDF("doc_id", "class_id", "texts")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_entities, p3_found, p3_terms, p3_bigrams, p3_trigrams, p4_found, p5_found, p5_sample, p5_report, p6_found, p6_text, p7_ids, p8_found, p8_containers, p8_report, p9_found, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_entities, p3_found, p3_terms, p3_bigrams, p3_trigrams, p4_found, p5_found, p5_sample, p5_strata, p5_report, p6_found, p6_text, p7_ids, p8_found, p8_containers, p8_report, p8_mixture, p9_found, p9_classes)}
 
 _TERMS = """
 WITH rec AS (SELECT speech_id, min(speech) AS speech FROM speeches WHERE speech_id IS NOT NULL AND speech IS NOT NULL GROUP BY speech_id),
@@ -111,6 +124,12 @@ cnt AS (SELECT term, count(*)::BIGINT AS occurrences, count(DISTINCT speech_id):
 marked AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 5 > (SELECT count(*) FROM rec) THEN 'common' END AS mark FROM cnt)
 """
 
+_STRATA = """
+WITH rec AS (SELECT id, min({'decade': ((year // 10) * 10)::INTEGER, 'haiku': haiku}) AS s FROM opus_vs_haiku
+  WHERE id IS NOT NULL AND year IS NOT NULL AND haiku IN ('negative_liberty', 'positive_liberty', 'ambiguous', 'other') GROUP BY id),
+cnt AS (SELECT s.decade AS decade, s.haiku AS haiku, count(*) AS n FROM rec GROUP BY ALL),
+u AS (SELECT count(*) // 10 AS n FROM rec)"""
+
 ORACLES = {
     "p3_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
@@ -124,11 +143,10 @@ WITH rec AS (SELECT speech_id, min(speech) AS speech FROM speeches WHERE speech_
 arr AS (SELECT speech_id, regexp_extract_all(lower(speech), '[a-z]+') AS w FROM rec),
 tri AS (SELECT speech_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS term FROM arr WHERE len(w) > 2)
 SELECT term, count(*)::BIGINT AS occurrences, count(DISTINCT speech_id)::BIGINT AS records FROM tri GROUP BY term""",
-    "p5_found": """
-WITH rec AS (SELECT id, min({'decade': ((year // 10) * 10)::INTEGER, 'haiku': haiku}) AS s FROM opus_vs_haiku
-  WHERE id IS NOT NULL AND year IS NOT NULL AND haiku IN ('negative_liberty', 'positive_liberty', 'ambiguous', 'other') GROUP BY id),
-cnt AS (SELECT s.decade AS decade, s.haiku AS haiku, count(*) AS n FROM rec GROUP BY ALL),
-u AS (SELECT count(*) // 10 AS n FROM rec)
+    "p5_found": _STRATA + """
 SELECT t.decade, t.haiku FROM sample_targets t CROSS JOIN u LEFT JOIN cnt USING (decade, haiku)
 WHERE coalesce(cnt.n, 0) < greatest(t.min_rows, t.share_pm * u.n // 1000)""",
+    "p5_strata": _STRATA + """
+SELECT coalesce(t.decade, cnt.decade) AS decade, coalesce(t.haiku, cnt.haiku) AS haiku, t.haiku IS NOT NULL AS targeted, coalesce(cnt.n, 0)::BIGINT AS available,
+  coalesce(greatest(t.min_rows, t.share_pm * u.n // 1000), 0)::BIGINT AS wanted FROM sample_targets t FULL JOIN cnt ON t.decade = cnt.decade AND t.haiku = cnt.haiku CROSS JOIN u""",
 }

@@ -73,6 +73,34 @@ def test_packing(spark, monkeypatch):
     assert packing.pack_items(items.where("false")).count() == 0
 
 
+def test_mixture_follows_its_targets(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 5 == 0] if i % 11 else "c", int(r.integers(20, 300))) for i in range(6000)]
+    shares = {"a": 0.5, "b": 0.5, "missing": 0.3}
+    got = packing.pack_items(spark.createDataFrame(rows, "key long, source string, tokens int"), capacity=1000, window_containers=20, shares=shares)
+    mixed = packing.mixture(got, shares).collect()
+    last_b = max(m.window for m in mixed if m.source == "b")
+    last = max(m.window for m in mixed)
+    assert 5 < last_b < last  # b runs dry first, a and c fill the rest
+    assert all(abs(m.deviation) < 0.03 for m in mixed if m.source in "ab" and m.window < last_b)
+    drift = Counter()  # what a window lacks is made up later: deficits are carried
+    for m in mixed:
+        if m.window < last_b and m.source in "ab":
+            drift[m.source] += m.deviation
+    assert all(abs(x) < 0.03 for x in drift.values())
+    assert {m.window for m in mixed if m.source == "c"} == set(range(last + 1)) and all(m.target is None for m in mixed if m.source == "c")
+    load = Counter()
+    for g in got.collect():
+        load[g.window, g.slot] += g.tokens
+    assert sum(load.values()) == sum(t for *_, t in rows) and sum(load.values()) > 0.97 * 1000 * len(load)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}])
+def test_other_tokenizers_are_refused(change):
+    with pytest.raises(ValueError):
+        bpe.pattern_of({"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "normalizer": None} | change)
+
+
 # ---------------------------------------------------------------- look-alikes
 
 
