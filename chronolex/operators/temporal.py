@@ -101,12 +101,23 @@ def knn(vectors: DataFrame, words: list[str], k: int) -> DataFrame:
     return nearest(vectors, pick(vectors, words), k)
 
 
+#: Parts in which the words of a period meet the words asked for.
+BLOCKS = 16
+
+
 def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """``knn`` of the rows ``asked(period, word, vec)``."""
-    q = asked.select("period", F.col("word").alias("query"), F.col("vec").alias("qv"))
-    sim = vectors.join(q, "period").where("word != query").select("period", "query", "word", F.round(V.cosine_similarity(F.col("vec"), F.col("qv")), 9).alias("similarity"), "vec", (V.norm(F.col("qv")) > 0).alias("ok"))
+    """``knn`` of the rows ``asked(period, word, vec)``.
+
+    A period is not one join key: its words are spread over ``BLOCKS`` parts, and the rows
+    asked go to each.  The best of each part are kept before anything is gathered by query,
+    and vectors are fetched for those that remain.
+    """
+    part = F.pmod(F.xxhash64("word"), F.lit(BLOCKS))
+    q = asked.select("period", F.col("word").alias("query"), F.col("vec").alias("qv")).where(V.norm(F.col("qv")) > 0).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    sim = vectors.withColumn("part", part).join(q, ["period", "part"]).where("word != query").select("period", "query", "word", F.round(V.cosine_similarity(F.col("vec"), F.col("qv")), 9).alias("similarity"))
     n = F.row_number().over(Window.partitionBy("period", "query").orderBy(F.desc("similarity"), "word"))
-    return sim.where("ok").drop("ok").withColumn("place", n).where(F.col("place") <= k)
+    best = sim.withColumn("place", n).where(F.col("place") <= k)
+    return best.join(vectors.select("period", "word", "vec"), ["period", "word"]).select("period", "query", "word", "similarity", "vec", "place")
 
 
 def turnover(neighbours: DataFrame) -> DataFrame:

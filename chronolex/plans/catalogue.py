@@ -9,6 +9,7 @@ from chronolex.functions import text as X
 from chronolex.functions import vectors as V
 from chronolex.operators import corpus, labels, series, stats, temporal
 from chronolex.runtime import table
+from chronolex.streaming import labels as live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -341,8 +342,7 @@ def prompt_headers(spark, d):
 
 @query("WITH e AS (SELECT user_id, event_type, date_trunc('hour', ts) AS start FROM events) SELECT start, event_type, count(*)::BIGINT AS n FROM e GROUP BY ALL")
 def event_windows(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return live.windowed_counts(table(spark, d, "events"))
 
 
 # ---------------------------------------------------------------- vectors over time

@@ -284,6 +284,35 @@ def test_from_sentence_files_to_trends(spark, tmp_path):
     assert (stale.stale_methods, stale.stale_removed, stale.index_matches) == ("from_to", False, None)
 
 
+def test_analyses_from_files_to_results(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from chronolex import analyses
+
+    rows = [{"id": f"{y}{i}", "year": y, "sentence": "s", "party": "P", "methods": {"llm": l, "from_to": "x"}} for y in (1900, 1910, 1920) for i, l in enumerate(["positive_liberty"] * (y - 1895) + ["negative_liberty"] * 40)]
+    (tmp_path / "sentences_1900s.json").write_text(json.dumps(rows))
+    (tmp_path / "index.json").write_text(json.dumps({"total_sentences": len(rows)}))
+    analyses.main(["label-trends", "--data-dir", str(tmp_path), "--output", f"{tmp_path}/out", "--min-denominator", "1"])
+    got = {r.test: r.slope for r in spark.read.json(f"{tmp_path}/out/trend_tests").collect()}
+    assert len(got) == 4 and got["positive_share_of_positive_negative"] > 0
+    check = analyses.manifest(spark, str(tmp_path))
+    assert (check["checks"].first().index_matches, check["checks"].first().stale_removed) == (True, False) and check["missing_years"].count() == 2
+    assert analyses.annotation_sample(spark, str(tmp_path), per_bucket=2)["sheet"].count() == 12
+    (tmp_path / "s.csv").write_text("speech_date,speech,display_as,party\n" + "".join(f'19{y}-01-01,"The freedom of trade, and the liberty of the canal. Freedom again here.",A,P\n' for y in range(10, 30) for _ in range(10)))
+    got = analyses.speeches(spark, str(tmp_path))
+    assert got["frequency"].count() == 20 and got["sentences"].count() > 0 and got["collocates"].count() > 0
+    r = np.random.default_rng(0)
+    for p in range(1900, 1960, 10):
+        np.save(tmp_path / f"{p}-w.npy", r.standard_normal((40, 8)).astype(np.float32))
+        (tmp_path / f"{p}-vocab.json").write_text(json.dumps([f"v{i}" for i in range(40)]))
+    got = analyses.spaces(spark, str(tmp_path), ["v1", "v2"], ["v3", "v4"], ["v5", "v6", "v7"])
+    assert {k: df.count() for k, df in got.items() if k in ("projection", "trend", "trajectory")} == {"projection": 18, "trend": 3, "trajectory": 18}
+    (tmp_path / "eebo_1.json").write_text(json.dumps([{"tcp_id": "a", "year": 1510, "title": "t", "text": "the libertie and freedom of the canall trade", "word_count": 8}]))
+    assert analyses.prints(spark, str(tmp_path))["contexts"].count() == 1
+
+
 def test_growth_needs_ten_years(spark):
     rows = [("nine", 2000 + i, 1.0) for i in range(9)] + [("zero", 2000 + i, float(i > 4)) for i in range(10)] + [("up", 2000 + i, 1.0 + (i > 4)) for i in range(10)]
     got = series.growth(spark.createDataFrame(rows, "series string, year int, value double"))
