@@ -95,9 +95,9 @@ def browse_unlabelled(spark, d):
     return kept.join(done, "id", "left").select("eval_id", "id", "year", "haiku", F.coalesce("l", F.lit(False)).alias("labelled")).orderBy("labelled", "year", "eval_id").limit(25)
 
 
-@query("SELECT eval_id, id, coalesce(sentence, '') AS sentence, year FROM opus_vs_haiku")
+@query("SELECT eval_id, id, coalesce(sentence, '') AS sentence, coalesce(year, 0) AS year FROM opus_vs_haiku")
 def eval_projection(spark, d):
-    return table(spark, d, "opus_vs_haiku").select("eval_id", "id", F.coalesce("sentence", F.lit("")).alias("sentence"), "year")
+    return table(spark, d, "opus_vs_haiku").select("eval_id", "id", F.coalesce("sentence", F.lit("")).alias("sentence"), F.coalesce("year", F.lit(0)).alias("year"))
 
 
 @query(f"SELECT coalesce(id, '') AS id, (year // 10 * 10)::INTEGER AS decade, year, '' AS date, '' AS word, '' AS speaker, '' AS party, coalesce(sentence, '') AS sentence, {_NORM.format('haiku')} AS llm_label, '' AS annotator_1, '' AS annotator_2, '' AS adjudicated_label, '' AS notes FROM opus_vs_haiku WHERE year IS NOT NULL")

@@ -119,14 +119,14 @@ def trend_agreement(spark, d):
 _TRAJ = f"WITH {_VEC}, tr AS (SELECT word, period, vec, lag(vec) OVER w AS was, lag(period) OVER w AS from_period, first_value(vec) OVER w AS begin_, count(*) OVER (PARTITION BY word) AS n FROM vec WHERE word IN {_list(ASKED)} WINDOW w AS (PARTITION BY word ORDER BY period)), tc AS (SELECT word, period, from_period, CASE WHEN was IS NOT NULL THEN round(1 - ({_COS.format('vec', 'was')}), 6) END AS step, CASE WHEN was IS NULL THEN 0.0 ELSE round(1 - ({_COS.format('vec', 'begin_')}), 6) END AS since_first FROM tr WHERE n > 1)"
 
 
-@query(f"{_TRAJ} SELECT *, arg_max(since_first, period) OVER (PARTITION BY word) AS total FROM tc")
+@query(f"{_TRAJ} SELECT word, period, coalesce(from_period, 0) AS from_period, step, since_first, arg_max(since_first, period) OVER (PARTITION BY word) AS total FROM tc")
 def word_trajectory(spark, d):
-    return temporal.trajectory(temporal.pick(_vec(spark, d), ASKED))
+    return temporal.trajectory(temporal.pick(_vec(spark, d), ASKED)).withColumn("from_period", F.coalesce("from_period", F.lit(0)))
 
 
-@query(f"{_nn(f'SELECT period, word FROM vec WHERE word IN {_list(ASKED)}', 10)}, ns AS (SELECT query AS word, period, list(word) AS now FROM nn GROUP BY ALL), nl AS (SELECT *, lag(now) OVER w AS was, lag(period) OVER w AS from_period, first_value(now) OVER w AS begin_, count(*) OVER (PARTITION BY word) AS n FROM ns WINDOW w AS (PARTITION BY word ORDER BY period)), tc AS (SELECT word, period, from_period, CASE WHEN was IS NOT NULL THEN round(1 - len(list_intersect(now, was)) / len(list_distinct(now || was)), 6) END AS step, CASE WHEN was IS NULL THEN 0.0 ELSE round(1 - len(list_intersect(now, begin_)) / len(list_distinct(now || begin_)), 6) END AS since_first FROM nl WHERE n > 1) SELECT *, arg_max(since_first, period) OVER (PARTITION BY word) AS total FROM tc")
+@query(f"{_nn(f'SELECT period, word FROM vec WHERE word IN {_list(ASKED)}', 10)}, ns AS (SELECT query AS word, period, list(word) AS now FROM nn GROUP BY ALL), nl AS (SELECT *, lag(now) OVER w AS was, lag(period) OVER w AS from_period, first_value(now) OVER w AS begin_, count(*) OVER (PARTITION BY word) AS n FROM ns WINDOW w AS (PARTITION BY word ORDER BY period)), tc AS (SELECT word, period, from_period, CASE WHEN was IS NOT NULL THEN round(1 - len(list_intersect(now, was)) / len(list_distinct(now || was)), 6) END AS step, CASE WHEN was IS NULL THEN 0.0 ELSE round(1 - len(list_intersect(now, begin_)) / len(list_distinct(now || begin_)), 6) END AS since_first FROM nl WHERE n > 1) SELECT word, period, coalesce(from_period, 0) AS from_period, step, since_first, arg_max(since_first, period) OVER (PARTITION BY word) AS total FROM tc")
 def word_trajectory_neighbours(spark, d):
-    return temporal.trajectory(C._knn(spark, d), "neighbor")
+    return temporal.trajectory(C._knn(spark, d), "neighbor").withColumn("from_period", F.coalesce("from_period", F.lit(0)))
 
 
 @query(f"{_TRAJ}, tot AS (SELECT word, arg_max(since_first, period) AS total FROM tc GROUP BY word) SELECT word, total, row_number() OVER (ORDER BY total DESC, word)::INTEGER || '/' || (SELECT count(*) FROM tot) AS place, round((SELECT count(*) FROM tot o WHERE o.total < tot.total)::DOUBLE / nullif((SELECT count(*) FROM tot) - 1, 0), 6) AS share_less FROM tot")
