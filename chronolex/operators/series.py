@@ -27,6 +27,11 @@ def by_span(s: DataFrame, years: int, start: int = 0) -> DataFrame:
     return s.groupBy("series", begin.alias("span")).agg(F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("years"))
 
 
+def summary(s: DataFrame, at: str = "at") -> DataFrame:
+    """Mean, greatest value with its first date, and least value of each series."""
+    return s.groupBy("series").agg(F.round(F.avg("value"), 2).alias("mean"), F.max("value").alias("most"), F.min_by(F.col(at), F.struct(-F.col("value"), F.col(at))).alias("peak_at"), F.min("value").alias("least"))
+
+
 def growth(s: DataFrame, ends: int = 5, least: int = 10) -> DataFrame:
     """Mean of the last years over that of the first, and peak year (the first of equals).
 

@@ -184,3 +184,8 @@ def series_growth_ends(spark, d):
 @query(f"{_DY} SELECT series, growth, row_number() OVER (ORDER BY growth DESC, series)::INTEGER AS place FROM g")
 def series_growth_rank(spark, d):
     return series.growth_rank(series.growth(_sizes(spark, d)))
+
+
+@query("SELECT o_orderpriority AS series, round(avg(o_totalprice), 2) AS mean, max(o_totalprice) AS most, arg_min(o_orderkey, {'v': -o_totalprice, 'k': o_orderkey}) AS peak_at, min(o_totalprice) AS least FROM orders GROUP BY ALL")
+def series_summary(spark, d):
+    return series.summary(table(spark, d, "orders").select(F.col("o_orderpriority").alias("series"), F.col("o_orderkey").alias("at"), F.col("o_totalprice").alias("value")))

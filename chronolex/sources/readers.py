@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 
 import numpy as np
@@ -122,6 +123,34 @@ def read_glove(spark: SparkSession, path: str, limit: int = 50_000) -> DataFrame
     return lines.orderBy("i").limit(limit).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, 100_000), lambda x: x.cast("float")).alias("vec"))
 
 
+def read_ngrams(spark: SparkSession, path: str, first_year: int) -> DataFrame:
+    """``(series, year, value)`` of saved answers of an n-gram service: arrays of ``{ngram, timeseries}``, the first of each file."""
+    rows = spark.read.schema("ngram string, timeseries array<double>").option("multiLine", True).json(path).withColumn("f", F.col("_metadata.file_path"))
+    one = rows.where("timeseries is not null").groupBy("f").agg(F.first(F.struct("ngram", "timeseries")).alias("x"))
+    return one.select(F.col("x.ngram").alias("series"), F.posexplode("x.timeseries").alias("i", "value")).select("series", (F.col("i") + first_year).alias("year"), "value")
+
+
+def read_trends(spark: SparkSession, path: str) -> DataFrame:
+    """``(series, at, value)`` of saved search interest: CSV with a date and a column for each term."""
+    wide = spark.read.option("header", True).csv(path)
+    at, *terms = [c for c in wide.columns if c.lower() != "ispartial"]
+    return wide.unpivot([at], terms, "series", "value").select("series", F.col(at).alias("at"), F.col("value").try_cast("double").alias("value")).where("value is not null")
+
+
+def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
+    """``(custom_id, label, rationale)`` of a finished batch as JSON lines; what did not succeed is labelled 'error'."""
+    kind = "custom_id string, result struct<type:string,label:string,rationale:string>"
+    r = spark.read.schema(kind).json(path)
+    good = F.col("result.type").eqNullSafe("succeeded")
+    return r.select("custom_id", F.when(good, F.coalesce("result.label", F.lit("error"))).otherwise("error").alias("label"), F.when(good, F.col("result.rationale")).otherwise(F.col("result.type")).alias("rationale"))
+
+
+def read_respellings(path: str) -> dict[str, str]:
+    """A table of respellings (old, new; CSV on the driver) for ``text.normalise_spelling``."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return {old.strip().lower(): new.strip() for old, new, *_ in csv.reader(f) if old.strip()}
+
+
 def read_wiki_dump(spark: SparkSession, path: str, least: int = 5) -> DataFrame:
     """Token lines of a wiki dump (plain or compressed XML)."""
     body = spark.read.format("xml").option("rowTag", "text").schema("_VALUE string").load(path)

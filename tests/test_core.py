@@ -313,6 +313,23 @@ def test_analyses_from_files_to_results(spark, tmp_path):
     assert analyses.prints(spark, str(tmp_path))["contexts"].count() == 1
 
 
+def test_saved_answers_of_services(spark, tmp_path):
+    import json
+
+    (tmp_path / "n.json").write_text(json.dumps([{"ngram": "trade", "timeseries": [0.5, 0.25]}, {"ngram": "trade (All)", "timeseries": [9.0]}]))
+    assert sorted(tuple(r) for r in readers.read_ngrams(spark, f"{tmp_path}/n.json", 1900).collect()) == [("trade", 1900, 0.5), ("trade", 1901, 0.25)]
+    (tmp_path / "t.csv").write_text("date,trade,canal,isPartial\n2020-01-05,10,<1,False\n2020-01-12,10,4,True\n")
+    got = readers.read_trends(spark, f"{tmp_path}/t.csv")
+    assert sorted(tuple(r) for r in got.collect()) == [("canal", "2020-01-12", 4.0), ("trade", "2020-01-05", 10.0), ("trade", "2020-01-12", 10.0)]
+    assert {r.series: r.peak_at for r in series.summary(got).collect()} == {"trade": "2020-01-05", "canal": "2020-01-12"}
+    lines = [{"custom_id": "i-0", "result": {"type": "succeeded", "label": "other", "rationale": "r"}}, {"custom_id": "i-1", "result": {"type": "expired"}}, {"custom_id": "i-2", "result": {"type": "succeeded"}}]
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    assert {(r.custom_id, r.label) for r in readers.read_batch_results(spark, f"{tmp_path}/b.jsonl").collect()} == {("i-0", "other"), ("i-1", "error"), ("i-2", "error")}
+    (tmp_path / "r.csv").write_text("Musicke,music\n,\n")
+    assert one(spark, lambda c: X.normalise_spelling(c, readers.read_respellings(f"{tmp_path}/r.csv")), "MUSICKE") == "MUSIC"
+    assert one(spark, lambda c: X.highlight(c, "trade"), "Free trade, trader") == "Free <mark>trade</mark>, trader"
+
+
 def test_growth_needs_ten_years(spark):
     rows = [("nine", 2000 + i, 1.0) for i in range(9)] + [("zero", 2000 + i, float(i > 4)) for i in range(10)] + [("up", 2000 + i, 1.0 + (i > 4)) for i in range(10)]
     got = series.growth(spark.createDataFrame(rows, "series string, year int, value double"))
