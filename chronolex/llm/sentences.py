@@ -5,7 +5,9 @@ model over its neighbouring tokens, their case, length, digits and script.
 
 Candidates are runs of closing punctuation outside quotations and brackets, closing
 marks of quotations and brackets that hold a finished sentence, and, in Thai, which
-writes no full stop, the spaces between words.  A line break ends a sentence by itself.
+writes no full stop, the spaces between words.  A line break ends a sentence by itself,
+but for a wrapped line: one that ends in a letter, a figure, a comma, a semicolon or a
+hyphen and goes on with a small letter on the very next line.
 
 Two statistics of every token, counted over all texts, say how often it stands last
 before a line break or the end of a text, and how often first.  The model is trained on
@@ -65,6 +67,7 @@ _LEFT = re.compile(r"\S+$")
 _RIGHT = re.compile(r"\s*([^\W\d_]+|\d+|\S)?")
 _DIGITS = str.maketrans("0123456789", "9999999999")
 _LINE = re.compile(r"[^\n\r  ]+")
+_GOES_ON = ",;-‐\xad"
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _SEMICOLONS = {";", "\u037e"}
 _ENCLOSING = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
@@ -197,9 +200,29 @@ def _marks(text: str, a: int, b: int) -> list:
     return out
 
 
+def _logical_lines(text: str) -> list[tuple[int, int]]:
+    """Begin and end of each line; a line that goes on with a small letter is one with the next."""
+    lines: list[tuple[int, int]] = []
+    for m in _LINE.finditer(text):
+        a, b = m.span()
+        while a < b and text[a].isspace():
+            a += 1
+        if a == b:
+            continue
+        if lines and text[a].islower():
+            begin, end = lines[-1]
+            while text[end - 1].isspace():
+                end -= 1
+            if (text[end - 1].isalnum() or text[end - 1] in _GOES_ON) and text.count("\n", end, a) < 2:
+                lines[-1] = (begin, b)
+                continue
+        lines.append((m.start(), b))
+    return lines
+
+
 def candidates(text: str) -> Iterator[Candidate]:
     """All candidate boundaries of a text in order; ``last`` marks ends of paragraphs."""
-    lines = [(m.start(), m.end()) for m in _LINE.finditer(text) if not m.group().isspace()]
+    lines = _logical_lines(text)
     for i, (a, b) in enumerate(lines):
         while b > a and text[b - 1].isspace():
             b -= 1

@@ -81,6 +81,12 @@ def test_open_brackets_enclose_nothing():
     assert [c.kind for c in S.candidates("Γιατί\u037e Ναι.")] == ["\u037e", "."]
 
 
+def test_wrapped_lines_go_on():
+    ends = lambda t: [c.end for c in S.candidates(t)]
+    assert ends("The toll was\npaid in full. We met\r\nat noon,\nand left.") == [26, 53]
+    assert ends("A HEADING\nThe toll.") == [9, 19] and ends("a list\n\nof words") == [6, 16] and ends("He said:\nwell.") == [8, 14]
+
+
 def test_spark(spark):
     rows = [(1, "One ends here. Two ends here.", "x"), (1, "One ends here. Two ends here.", "y"), (2, None, "z"), (None, " ", "z"), (3, "Three.", None)]
     df = spark.createDataFrame(rows, "row_id long, speech string, sent_end string")
