@@ -80,3 +80,65 @@ def test_spark(spark):
     assert sorted((r.key or 0, r.kind, r.item) for r in S.findings(got).collect()) == [(0, "misread", "drain"), (1, "misread", "public"), (1, "misread", "public")]
     assert {r.key: r.text for r in got.collect()} == {1: "the public charter", 2: None, 3: "", None: "drain"}
     assert S.repair_scans(df.where("k = 9"), good, "k", "t").count() == 0
+
+
+def held_out(seed, texts=400):
+    """Reliable texts, and scanned ones with what was done to them, of words and heads that occur in no given table."""
+    import random
+
+    r = random.Random(seed)
+    syllables = [a + b for a in "b br c ch d f fl g h j l m n p pl qu r s st t tr v w".split() for b in "a e i o u ai ea ou er an en ol is".split()]
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 3))) + r.choice(["", "n", "ts", "ly", "ed", "ing"]) for _ in range(1500)] + "the of and to in that for with by".split() * 40
+    heads = [f"{a} OF {b}." for a in ("ANNALS", "TREATISE", "JOURNAL", "REGISTER") for b in ("HUSBANDRY", "NAVIGATION", "MEDICINE", "OPTICKS")]
+
+    def sentence():
+        w = [r.choice(words) for _ in range(r.randint(6, 16))]
+        return " ".join([w[0].capitalize(), *w[1:]]) + "."
+
+    reliable = [" ".join(sentence() for _ in range(5)) for _ in range(texts)]
+    steps = [(right, read) for read, right in S.STEPS if len(read) + len(right) <= 3 and read.isalpha()]
+    scans = []
+    for _ in range(texts):
+        truth, lines, line = set(), [], ""
+        for w in " ".join(sentence() for _ in range(6)).split():
+            core = w.strip(".")
+            if len(core) > 5 and core.islower() and r.random() < 0.03:
+                right, read = r.choice(steps)
+                at = core.find(right)
+                if at > 0 and core[:at] + read + core[at + len(right) :] not in words:
+                    truth.add(("misread", core))
+                    w = w.replace(core, core[:at] + read + core[at + len(right) :], 1)
+            if len(line) + len(w) > 52:
+                cut = 52 - len(line) - 1
+                if len(core) > 6 and 2 < cut < len(core) - 2 and core.islower() and core in w:
+                    truth.add(("joined", core))
+                    lines.append(line + w[:cut] + "-")
+                    line = w[cut:] + " "
+                    continue
+                lines.append(line.rstrip())
+                line = ""
+            line += w + " "
+        lines.append(line.rstrip())
+        for k in range(r.randint(5, 9), len(lines), 12):
+            head = r.choice([f"   {r.choice(heads)}   {r.randint(2, 900)}", f"    {r.randint(2, 900)}  {r.choice(heads)}", f" [{r.randint(2, 900)}]"])
+            truth.add(("furniture", head.strip()))
+            lines.insert(k, head)
+        scans.append(("\n".join(lines), truth))
+    return reliable, scans
+
+
+def test_held_out_pages():
+    from collections import Counter
+
+    reliable, scans = held_out(5)
+    words = Counter(w.lower() for t in reliable for w in S._WORD.findall(t))
+    lines = Counter(S.line_key(x) for t, _ in scans for x in t.split("\n") if len(x.strip()) in S.HEAD_CHARS)
+    r = S.Repairer(S.Lexicon(dict(words), words.total()), S.Furniture([k for k, n in lines.items() if n >= 4]))
+    for kind in ("joined", "misread", "furniture"):
+        hit = found = true = 0
+        for text, truth in scans:
+            got = {x for x in r.repair(text).found if x[0] == kind}
+            want = {x for x in truth if x[0] == kind}
+            hit, found, true = hit + len(got & want), found + len(got), true + len(want)
+        print(kind, "of", true, "recall", round(hit / true, 3), "precision", round(hit / found, 3))
+        assert hit > 0.9 * true and hit > 0.9 * found
