@@ -64,7 +64,7 @@ def spaces(spark: SparkSession, data_dir: str, agency: list[str], constraint: li
     axis = temporal.expanded_axes(v, {"": (agency, constraint)}, period).select("axis")
     y = temporal.project(v, axis, words).select(F.col("word").alias("series"), F.col("period").alias("x"), F.col("projection").alias("y"))
     t = stats.trend(y)
-    near = temporal.knn(v, words, 10)
+    near = temporal.knn(v, words, 10, with_vectors=True)
     return {
         "trajectory": temporal.trajectory(temporal.pick(v, words)), "projection": y, "trend": t.withColumn("p", stats.two_sided_p(F.col("z"))), "change_points": stats.change_point(y), "permutation": stats.permutation_trend(y),
         "against_controls": stats.against_controls(t, "series", words[0]), "turnover": temporal.turnover(near), "coherence": temporal.coherence(near), "norms": v.groupBy("period").agg(F.avg(V.norm(F.col("vec"))).alias("mean_norm")),

@@ -20,14 +20,21 @@ NUMBERED_TOGETHER = 1_000_000
 def keyed_words(embeddings: DataFrame) -> DataFrame:
     """``words_by_period`` with the key of each vector.
 
-    Keys are numbered in ranges, and each range begins where the count of those before it
-    ends, so no task sorts the whole of a label; keys are positive.
+    Keys are numbered in ranges of ``NUMBERED_TOGETHER``, and each range begins where the
+    count of those before it ends, so no task sorts the whole of a label.  Keys of one
+    range need no counts.
     """
     part = F.floor(F.col("vec_id") / NUMBERED_TOGETHER)
+    first, last = embeddings.agg(F.min(part), F.max(part)).first()
+    if first == last:
+        return _named(embeddings, F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
     sizes = embeddings.select("label", part.alias("part")).groupBy("label", "part").agg(F.count("*").alias("n"))
     begins = sizes.select("label", "part", (F.sum("n").over(Window.partitionBy("label").orderBy("part")) - F.col("n")).alias("begin"))
-    rows = embeddings.withColumn("part", part).join(begins, ["label", "part"])
-    n = F.col("begin") + F.row_number().over(Window.partitionBy("label", "part").orderBy("vec_id"))
+    rows = embeddings.withColumn("part", part).join(F.broadcast(begins), ["label", "part"])  # one row a label and million keys
+    return _named(rows, F.col("begin") + F.row_number().over(Window.partitionBy("label", "part").orderBy("vec_id")))
+
+
+def _named(rows: DataFrame, n: Column) -> DataFrame:
     return rows.select("vec_id", (F.lit(1900) + 10 * F.col("label")).cast("int").alias("period"), F.concat(F.lit("w"), n.cast("string")).alias("word"), F.col("embedding").alias("vec"))
 
 
@@ -96,17 +103,17 @@ def domain_turnover(turned: DataFrame, lex: DataFrame) -> DataFrame:
     return long.join(lex, F.col("w") == lex["word"], "left").groupBy("query", "period", "change", F.coalesce("domain", F.lit("untagged")).alias("domain")).agg(F.count("*").alias("words"))
 
 
-def knn(vectors: DataFrame, words: list[str], k: int) -> DataFrame:
+def knn(vectors: DataFrame, words: list[str], k: int, *, with_vectors: bool = False) -> DataFrame:
     """The k nearest words of each query word in each period; a zero vector has none."""
-    return nearest(vectors, pick(vectors, words), k)
+    return nearest(vectors, pick(vectors, words), k, with_vectors=with_vectors)
 
 
 #: Parts in which the words of a period meet the words asked for.
 BLOCKS = 16
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """``knn`` of the rows ``asked(period, word, vec)``.
+def nearest(vectors: DataFrame, asked: DataFrame, k: int, *, with_vectors: bool = False) -> DataFrame:
+    """``(period, query, word, similarity, place)``: ``knn`` of the rows ``asked(period, word, vec)``; on demand with ``vec``.
 
     A period is not one join key: its words are spread over ``BLOCKS`` parts, and the rows
     asked go to each.  The best of each part are kept before anything is gathered by query,
@@ -117,6 +124,8 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     sim = vectors.withColumn("part", part).join(q, ["period", "part"]).where("word != query").select("period", "query", "word", F.round(V.cosine_similarity(F.col("vec"), F.col("qv")), 9).alias("similarity"))
     n = F.row_number().over(Window.partitionBy("period", "query").orderBy(F.desc("similarity"), "word"))
     best = sim.withColumn("place", n).where(F.col("place") <= k)
+    if not with_vectors:
+        return best
     return best.join(vectors.select("period", "word", "vec"), ["period", "word"]).select("period", "query", "word", "similarity", "vec", "place")
 
 

@@ -363,8 +363,8 @@ def _vec(spark, d):
     return temporal.words_by_period(table(spark, d, "embeddings"))
 
 
-def _knn(spark, d):
-    return temporal.knn(_vec(spark, d), ASKED, 10)
+def _knn(spark, d, **options):
+    return temporal.knn(_vec(spark, d), ASKED, 10, **options)
 
 
 _PT = f"WITH {_VEC}, p AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + f") x(a, b)), t AS (SELECT a, b, l.period, {_COS.format('l.vec', 'r.vec')} AS sim FROM p JOIN vec l ON a = l.word JOIN vec r ON b = r.word AND l.period = r.period)"
@@ -400,12 +400,12 @@ def neighbor_turnover(spark, d):
 @query(f"""WITH {_VEC}, {_KNN}, x AS (SELECT query, period, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM nn), m AS (SELECT query, period, i, avg(v) AS v FROM x GROUP BY ALL), c AS (SELECT query, period, list(v ORDER BY i) AS vec FROM m GROUP BY ALL),
 l AS (SELECT *, lag(vec) OVER (PARTITION BY query ORDER BY period) AS was FROM c) SELECT query, period, round(1 - ({_COS.format('vec', 'was')}), 6) AS displacement FROM l WHERE was IS NOT NULL""")
 def centroid_displacement(spark, d):
-    return temporal.displacement(_knn(spark, d))
+    return temporal.displacement(_knn(spark, d, with_vectors=True))
 
 
 @query(f"WITH {_VEC}, {_KNN} SELECT a.query, a.period, round(avg({_COS.format('a.vec', 'b.vec')}), 6) AS coherence FROM nn a JOIN nn b ON a.query = b.query AND a.period = b.period AND a.place < b.place GROUP BY ALL")
 def neighborhood_coherence(spark, d):
-    return temporal.coherence(_knn(spark, d))
+    return temporal.coherence(_knn(spark, d, with_vectors=True))
 
 
 @query(f"WITH {_VEC}, {_KNN} SELECT query, word AS term, count(*)::BIGINT AS periods, min(place) AS best_place, round(avg(similarity), 6) AS mean_similarity FROM nn WHERE word IN ('w20', 'w21', 'w22', 'w23', 'w24', 'w25', 'w26', 'w27', 'w28', 'w29') GROUP BY ALL")
@@ -429,14 +429,14 @@ def _asked(spark, d):
     return temporal.keyed_words(table(spark, d, "embeddings")).where(F.col("vec_id") % ASKED_EVERY == 0).drop("vec_id")
 
 
-def _asked_knn(spark, d, k):
-    return temporal.nearest(_vec(spark, d), _asked(spark, d), k)
+def _asked_knn(spark, d, k, **options):
+    return temporal.nearest(_vec(spark, d), _asked(spark, d), k, **options)
 
 
-def _asked_words_knn(spark, d, k):
+def _asked_words_knn(spark, d, k, **options):
     """The words of the asked rows in all their periods, so that consecutive periods can be compared."""
     v = _vec(spark, d)
-    return temporal.nearest(v, v.join(_asked(spark, d).select("word").distinct(), "word", "left_semi"), k)
+    return temporal.nearest(v, v.join(_asked(spark, d).select("word").distinct(), "word", "left_semi"), k, **options)
 
 
 @query()
@@ -451,12 +451,12 @@ def neighbor_turnover_whole(spark, d):
 
 @query()
 def centroid_displacement_whole(spark, d):
-    return temporal.displacement(_asked_words_knn(spark, d, NEIGHBOURHOOD))
+    return temporal.displacement(_asked_words_knn(spark, d, NEIGHBOURHOOD, with_vectors=True))
 
 
 @query()
 def neighborhood_coherence_whole(spark, d):
-    return temporal.coherence(_asked_knn(spark, d, NEIGHBOURHOOD))
+    return temporal.coherence(_asked_knn(spark, d, NEIGHBOURHOOD, with_vectors=True))
 
 
 @query()
