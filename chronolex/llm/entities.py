@@ -538,15 +538,19 @@ def components(edges: DataFrame) -> DataFrame:
     """``(id, root)`` of every id in ``edges(a, b)``: the smallest id of its component.
 
     Each id takes the least root of its neighbours and then that root's own root, until
-    nothing changes; hubs cost one partial aggregate a task.
+    nothing changes; two such steps are made between writes.  Hubs cost one partial
+    aggregate a task.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct()
     roots = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root"))
-    while True:
+
+    def step(roots: DataFrame) -> DataFrame:
         seen = both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(seen, roots.id == seen.a).select("id", "root", F.least("root", "near").alias("next"))
-        jump = step.alias("s").join(roots.alias("r"), F.col("s.next") == F.col("r.id"), "left").select(F.col("s.id").alias("id"), F.least("s.next", F.coalesce("r.root", "s.next")).alias("root"), F.col("s.root").alias("was"))
-        done = written(jump)
+        near = roots.join(seen, roots.id == seen.a).select("id", "root", F.least("root", "near").alias("next"))
+        return near.alias("s").join(roots.alias("r"), F.col("s.next") == F.col("r.id"), "left").select(F.col("s.id").alias("id"), F.least("s.next", F.coalesce("r.root", "s.next")).alias("root"), F.col("s.root").alias("was"))
+
+    while True:
+        done = written(step(step(roots).select("id", "root")))
         roots = done.select("id", "root")
         if done.where("root != was").isEmpty():
             return roots
@@ -588,7 +592,7 @@ def resolve(df: DataFrame, key: str = "form_id", kind: str = "kind", display: st
     profiles = written(named.groupBy("kind", "profile").agg(F.min("key").alias("id")).select("id", "kind", "profile", F.lit(True).alias("fresh")))
     first = profiles.select("id", F.col("kind").alias("k"), F.col("profile").alias("p"))
     own = named.join(first, (named.kind == first.k) & (named.profile == first.p)).select("key", "id")
-    owners = written(own.unionByName(parsed.where("profile = '{}'").select("key", F.col("key").alias("id"))))
+    owners = own.unionByName(parsed.where("profile = '{}'").select("key", F.col("key").alias("id")))
 
     def merge(edges: DataFrame) -> bool:
         nonlocal profiles, owners
@@ -597,7 +601,7 @@ def resolve(df: DataFrame, key: str = "form_id", kind: str = "kind", display: st
             return False
         roots = components(edges)
         profiles = _merge(profiles, roots)
-        owners = written(owners.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("id")))
+        owners = owners.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("id"))  # of written tables; computed once, at the end
         return True
 
     merge(_candidates(profiles, False, c).where("sure").select("a", "b").distinct())
@@ -614,6 +618,7 @@ def resolve(df: DataFrame, key: str = "form_id", kind: str = "kind", display: st
         at_top = known.where("not sure").join(best, "a").where("score >= top - 0.25").groupBy("a").agg(F.min("b").alias("b"), F.countDistinct("place").alias("places"))
         if not merge(sure.unionByName(at_top.where("places = 1").select("a", "b"))):
             break
+    owners = written(owners)
     smallest = owners.groupBy("id").agg(F.min("key").alias("entity"))
     return owners.join(smallest, "id").select("key", "entity")
 
