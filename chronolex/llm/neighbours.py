@@ -351,7 +351,13 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     # a space of one cell needs no tree, another a few rows for each of its cells
     several = sum(n for n in count.values() if n > CELL_POINTS)
     rate = min(SAMPLE_A_CELL / CELL_POINTS, SAMPLE_TOTAL / max(1, several))
-    big = spark.createDataFrame([(x,) for x, n in count.items() if n > CELL_POINTS], f"space {kind}")
+    big = [x for x, n in count.items() if n > CELL_POINTS]
+    if len(big) <= 256:  # named in the condition
+        of_several = F.col("space").isin(*[x for x in big if x is not None]) | (F.col("space").isNull() if None in big else F.lit(False))
+        drawn = rows.where(F.coalesce(of_several, F.lit(False)))
+    else:  # at most one line for each CELL_POINTS rows, and MOST_SPACES
+        named = spark.createDataFrame([(x,) for x in big], f"space {kind}")
+        drawn = rows.alias("r").join(F.broadcast(named.alias("b")), F.col("r.space").eqNullSafe(F.col("b.space")), "left_semi")
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,8 +366,7 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
 
     hashed = F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 33) / float(2**31)
     sampled: dict = {}
-    drawn = rows.where(hashed < rate).select("space", "vec").alias("r").join(F.broadcast(big.alias("b")), F.col("r.space").eqNullSafe(F.col("b.space")), "left_semi")  # at most one line for each CELL_POINTS rows, and MOST_SPACES
-    for r in drawn.mapInArrow(project, f"space {kind}, p binary").collect():
+    for r in drawn.where(hashed < rate).select("space", "vec").mapInArrow(project, f"space {kind}, p binary").collect():
         sampled.setdefault(r["space"], []).append(r["p"])
     trees = spark.sparkContext.broadcast({s: grow(np.frombuffer(b"".join(p), np.float32).reshape(-1, m), max(1, min(-(-count[s] // CELL_POINTS), len(p) // 16))) for s, p in sampled.items()})
     numbers = spark.sparkContext.broadcast(names)

@@ -99,3 +99,10 @@ def test_boxes_never_hide_a_point():
 @pytest.mark.parametrize(("path", "uri"), [("/a/b", "file:///a/b"), ("file:/a", "file:///a"), ("file:///a", "file:///a"), ("s3a://b/k", "s3://b/k"), ("hdfs://n:9/x", "hdfs://n:9/x"), ("dbfs:/x/y", "file:///dbfs/x/y"), ("gs://b/k", "gs://b/k")])
 def test_addresses_of_the_index(path, uri):
     assert N.index_uri(path) == uri
+
+
+def test_many_large_spaces(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_POINTS", 2)  # 300 spaces of more than one cell
+    v = np.random.default_rng(8).standard_normal((1200, 8)).astype(np.float32)
+    rows = [(i, f"s{i % 300}" if i % 300 else None, x.tolist()) for i, x in enumerate(v)]
+    assert run(spark, rows, 3) == brute(rows, 3)
