@@ -4,10 +4,11 @@ Method: low-dimensional stable projections indexed by a kd-tree.  Vectors are se
 unit length and projected by Gaussian (2-stable) directions to ``m`` numbers, so the
 squared projected distance of two vectors over their squared distance follows a
 chi-square law with m degrees of freedom.  A kd-tree over the projected points cuts a
-space into cells and cells into leaves; every row is indexed.  A query visits cells and
-leaves in ascending projected distance and verifies their points on the full vectors;
-it stops when the chi-square test says that what lies farther off in the projection
-holds a better neighbour with a probability below ``1 - confidence``.
+space into cells and cells into leaves; every row is indexed.  A query visits the
+leaves in which a neighbour lies, by the normal law of its projected difference, but
+for a quarter of ``1 - confidence``, and verifies their points on the full vectors; it
+stops when the chi-square test says that what lies farther off in the projection holds
+a better neighbour with a probability below the rest of ``1 - confidence``.
 
 Layout: the top of the tree is fitted on a bounded sample, ``SAMPLE_A_CELL`` rows for
 each cell that a space needs, ``SAMPLE_TOTAL`` for all spaces together; a space of one
@@ -53,11 +54,17 @@ CELL_POINTS = 4096
 LEAF_POINTS = 512
 #: Spaces whose names the driver may hold; more is an error.
 MOST_SPACES = 100_000
-_CELLS_HELD = 64
+#: Cells that a worker holds, and whose queries a task answers where there are many.
+_CELLS_HELD = 48
+CELLS_A_TASK = 16
 #: The first ring reaches as far as if the k-th best were at this squared distance, and
 #: rings grow at most by this factor.  They order the work and leave the result as it is.
-FIRST_RADIUS = 0.06
-RADIUS_GROWTH = 1.7
+FIRST_RADIUS = 0.08
+RADIUS_GROWTH = 3.0
+#: Leaves of a smaller chance are looked for only where larger ones do not add up.
+LEAST_CHANCE = 2e-4
+#: From this squared distance on, chances are spread over all leaves and radius alone decides.
+FAR_AWAY = 1.0
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -81,8 +88,8 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 def projected_dimensions(rows: int) -> int:
-    """Half the binary digits of the row count and one: the ball that a query verifies then stays small."""
-    return max(6, min(14, round(math.log2(max(2, rows)) / 2) + 1))
+    """An axis for each binary cut down to the leaves and two: no axis is then cut twice, and the ball that a query verifies stays small."""
+    return max(6, min(16, round(math.log2(max(2, rows / LEAF_POINTS))) + 2))
 
 
 def directions(dim: int, m: int, seed: int) -> np.ndarray:
@@ -134,6 +141,82 @@ def descend(nodes: list[tuple], points: np.ndarray) -> np.ndarray:
     return out
 
 
+_STEPS = 1024
+_NORMAL = np.array([0.5 * math.erfc(-i / _STEPS / math.sqrt(2)) for i in range(-8 * _STEPS, 8 * _STEPS + 1)], np.float32)
+
+
+def normal_cdf(z: np.ndarray) -> np.ndarray:
+    """P(standard normal <= z), from a table."""
+    return _NORMAL[np.clip(z * np.float32(_STEPS) + np.float32(8 * _STEPS + 0.5), 0, 16 * _STEPS).astype(np.int32)]
+
+
+def graft(top: list[tuple], below: dict[int, tuple[int, list[tuple]]]) -> list[tuple]:
+    """The tree ``top`` with each leaf replaced by the tree of its cell; leaves are numbered from the number given with that tree."""
+    nodes = list(top)
+    for at, (axis, _, cell, _) in enumerate(top):
+        if axis < 0 and cell in below:
+            first, tree = below[cell]
+            base = len(nodes) - 1  # the root takes the leaf's place
+            moved = [(-1, 0.0, int(a) + first, 0) if x < 0 else (int(x), cut, int(a) + base, int(b) + base) for x, cut, a, b in tree]
+            nodes[at] = moved[0]
+            nodes += moved[1:]
+        elif axis < 0:
+            nodes[at] = (-1, 0.0, -1, 0)  # no row lies there
+    return nodes
+
+
+def chances(nodes: list[tuple], points: np.ndarray, inverse: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, leaves, and the chances of at least ``least`` that a neighbour of the point lies in the leaf.
+
+    A neighbour is off by a normal deviation, of standard deviation 1 / ``inverse``, on each axis.
+    """
+    points, inverse = np.ascontiguousarray(points.T), inverse.astype(np.float32)
+    out = []
+    todo: list[tuple] = [(0, np.arange(len(inverse)), np.ones(len(inverse), np.float32), {})]
+    while todo:
+        at, rows, p, bounds = todo.pop()
+        axis, cut, a, b = nodes[at]
+        if axis < 0:
+            out.append((rows, np.full(len(rows), a, np.int32), p))
+            continue
+        x, i = points[axis][rows], inverse[rows]
+        low = normal_cdf((np.float32(cut) - x) * i)
+        lo, hi = bounds.get(axis, (None, None))
+        if lo is not None or hi is not None:
+            under = 0 if lo is None else normal_cdf((np.float32(lo) - x) * i)
+            within = (1 if hi is None else normal_cdf((np.float32(hi) - x) * i)) - under
+            low = np.clip((low - under) / np.maximum(within, np.float32(1e-9)), 0, 1)
+        low = low * p
+        high = p - low
+        for child, share, edge in ((b, high, (cut, hi)), (a, low, (lo, cut))):
+            keep = np.flatnonzero(share >= least)
+            if len(keep):
+                todo.append((child, rows[keep], share[keep], bounds | {axis: edge}))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def likely_leaves(nodes: list[tuple], leaves: int, points: np.ndarray, inverse: np.ndarray, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points and leaves: of each point the fewest leaves that hold a neighbour with a chance of 1 - ``miss``."""
+    found: list[tuple] = []
+    todo, least = np.arange(len(points)), LEAST_CHANCE
+    while len(todo):
+        q, leaf, p = chances(nodes, points[todo], inverse[todo], least)
+        enough = np.bincount(q, p, len(todo)) >= 1 - miss
+        if least * leaves <= miss / 4:  # what is left out adds up to less
+            enough[:] = True
+        order = np.argsort(q - p.astype(np.float64))  # by point, the likeliest first
+        q, leaf, p = q[order], leaf[order], p[order].astype(np.float64)
+        before = np.cumsum(p) - p
+        each = np.bincount(q, minlength=len(todo))
+        before -= np.repeat(before[(np.cumsum(each) - each)[each > 0]], each[each > 0])
+        take = (before < 1 - miss) & enough[q] & (leaf >= 0)
+        found.append((todo[q[take]], leaf[take]))
+        todo, least = todo[~enough], least / 16
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
 def box_distance(points: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Squared distance of every point to every box."""
     out = np.zeros((len(points), len(lo)), np.float32)
@@ -214,19 +297,21 @@ class _Cells:
             self.fs = pafs.FileSystem.from_uri(index_uri(self.path))
         fs, root = self.fs
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/s={s}/cell={cell}")) if f.path.endswith(".parquet")]
-        t = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(columns=["points", "vec", "key_counts", "keys", "lo", "hi"]) for f in files])
-        raw = np.concatenate([np.frombuffer(x, np.float32) for x in t["vec"].to_pylist()]).reshape(-1, self.dim)
-        unit = _unit(raw)
-        points = np.array(t["points"].to_pylist())
+        t = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(columns=["leaf", "points", "vec", "key_counts", "keys", "lo", "hi"], use_threads=False) for f in files])
+        order = np.argsort(t["leaf"].to_numpy())
+        column = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in t[c].take(order)]
+        raw = np.concatenate(column("vec", np.float32)).reshape(-1, self.dim)
+        exact = raw.astype(np.float64)
+        length = np.sqrt(np.einsum("ij,ij->i", exact, exact))
+        exact /= length[:, None]
+        unit = exact.astype(np.float32)
         projected = unit @ self.proj
-        box = lambda c: np.stack([np.frombuffer(x, np.float32) for x in t[c].to_pylist()])
         got = {
-            "raw": raw, "unit": unit, "proj": projected, "norm": (norm := (projected * projected).sum(axis=1)), "lifted": np.ascontiguousarray(np.vstack([2 * projected.T, -norm])), "ends": np.concatenate([[0], np.cumsum(points)]), "lo": box("lo"), "hi": box("hi"),
-            "key_counts": np.concatenate([np.frombuffer(x, np.int32) for x in t["key_counts"].to_pylist()]), "keys": np.concatenate([np.frombuffer(x, np.int64) for x in t["keys"].to_pylist()]),
+            "raw": raw, "unit": unit, "length": length, "proj": projected, "norm": (norm := (projected * projected).sum(axis=1)), "lifted": np.ascontiguousarray(np.vstack([2 * projected.T, -norm])), "ends": np.concatenate([[0], np.cumsum(t["points"].to_numpy()[order])]), "lo": np.stack(column("lo", np.float32)), "hi": np.stack(column("hi", np.float32)),
+            "key_counts": np.concatenate(column("key_counts", np.int32)), "keys": np.concatenate(column("keys", np.int64)),
         }
         got["key_ends"] = np.concatenate([[0], np.cumsum(got["key_counts"])])
         got["least"] = got["keys"][got["key_ends"][:-1]]
-        got["length"] = np.linalg.norm(raw.astype(np.float64), axis=1)
         self.held[s, cell] = got
         if len(self.held) > _CELLS_HELD:
             self.held.popitem(last=False)
@@ -246,6 +331,8 @@ class _Best:
         self.cell = np.full((queries, keep), -1, np.int32)
         self.row = np.full((queries, keep), -1, np.int32)
         self.kth = kth
+        self.codes = np.zeros(0, np.int64)
+        self.copies: dict[tuple[int, int], np.ndarray] = {}  # all keys of the points, by cell and row, that have several
 
     def worst(self) -> np.ndarray:
         return self.cos[:, self.kth]
@@ -276,48 +363,79 @@ def _cosines(home: dict, x: np.ndarray, other: dict, y: np.ndarray) -> np.ndarra
     return np.round(dot / (home["length"][x] * other["length"][y]), 9)
 
 
-def search_cell(cells: _Cells, directory, s: int, cell: int, k: int, stop: float) -> _Best:
-    """Nearest points of all queries of a cell: rings of growing projected radius until the test holds.
+def _home(cells: _Cells, s: int, own: list[int]) -> dict:
+    """The points of some cells as one block of queries."""
+    parts = [cells.get(s, c) for c in own]
+    home = {x: np.concatenate([p[x] for p in parts]) for x in ("raw", "unit", "proj", "norm", "length", "key_counts", "keys")}
+    return home | {"key_ends": np.concatenate([[0], np.cumsum(home["key_counts"])])}
+
 
-    The test: of a vector nearer than the k-th best at squared distance d, the squared
-    projected distance is above ``stop * d`` with a probability below 1 - confidence.
+def search_cells(cells: _Cells, directory, s: int, home: dict, k: int, stop: float, miss: float) -> _Best:
+    """Nearest points of all queries of a block: rings of growing projected radius until the tests hold.
+
+    The tests: of a vector nearer than the k-th best at squared distance d, the squared
+    projected distance is above ``stop * d`` with a probability below 1 - confidence, and
+    it lies outside the leaves that a ring visits with a probability of ``miss``.  A ring
+    fetches each cell once for the whole block.
     """
-    numbers, lo, hi = directory
-    home = cells.get(s, cell)
+    numbers, lo, hi, first, nodes = directory
     unit, proj, norm = home["unit"], home["proj"], home["norm"]
-    asked = np.hstack([proj, np.ones((len(proj), 1), np.float32)])
-    best = _Best(len(unit), k + 9, k)  # itself, k others, and 8 to spare
+    many = len(unit)
+    asked = np.hstack([proj, np.ones((many, 1), np.float32)])
+    best = _Best(many, k + 9, k)  # itself, k others, and 8 to spare
     error = (unit.shape[1] + 4) * 2.0**-24  # of a cosine in single precision, at most
-    gaps = box_gaps(proj.min(axis=0), proj.max(axis=0), lo, hi)  # no query is nearer to a box than its cell's box
-    order = np.argsort(gaps, kind="stable")
-    far: dict[int, np.ndarray] = {}
-    open_ = np.arange(len(unit))
-    inner = np.full(len(unit), -1.0, np.float32)  # what lies this near has been verified
-    outer = np.full(len(unit), stop * FIRST_RADIUS, np.float32)
+    gaps = box_gaps(proj.min(axis=0), proj.max(axis=0), lo, hi)  # no query is nearer to a box than its block's box
+    seen: dict[int, np.ndarray] = {}  # by cell, the leaves (times ``many``) and queries of the last ring
+    is_open = np.ones(many, bool)
+    inner = np.full(many, -1.0, np.float32)  # what lies this near in a leaf of the last ring has been verified
+    outer = np.full(many, stop * FIRST_RADIUS, np.float32)
     everything = stop * 4  # no two unit vectors are farther apart
-    while len(open_):
-        reach = outer[open_].max()
-        for c in order:
-            if gaps[c] > reach * 1.00001:  # single precision
-                break
-            if c not in far:
-                far[c] = box_distance(proj, lo[c : c + 1], hi[c : c + 1])[:, 0]
-            want = open_[far[c][open_] <= outer[open_]]
-            if not len(want):
+    while is_open.any():
+        open_ = np.flatnonzero(is_open)
+        whole = outer[open_] > stop * FAR_AWAY
+        by_radius, by_chance = open_[whole], open_[~whole]
+        codes = [np.zeros(0, np.int64)]
+        for i in range(0, len(by_chance), 16_384):
+            part = by_chance[i : i + 16_384]
+            q, leaf = likely_leaves(nodes, first[-1], proj[part], np.sqrt(stop / outer[part]), miss)
+            codes.append(leaf * np.int64(many) + part[q])
+        likely = np.sort(np.concatenate(codes))
+        starts = np.searchsorted(likely, first * many)
+        reach = outer[by_radius].max(initial=-1) * 1.00001  # single precision
+        for c in np.argsort(gaps, kind="stable"):
+            visit = likely[starts[c] : starts[c + 1]] - first[c] * many
+            before = seen.get(c, visit[:0])
+            before = before[is_open[before % many]]
+            other = None
+            if gaps[c] <= reach:
+                want = by_radius[box_distance(proj[by_radius], lo[c : c + 1], hi[c : c + 1])[:, 0] <= outer[by_radius]]
+                if len(want):
+                    other = cells.get(s, int(numbers[c]))
+                    q, leaf = np.nonzero(box_distance(proj[want], other["lo"], other["hi"]) <= outer[want][:, None])
+                    visit = np.union1d(visit, leaf * np.int64(many) + want[q])
+            if len(before):
+                visit = np.union1d(visit, before)
+            if not len(visit):
                 continue
-            other = cells.get(s, int(numbers[c]))
-            visit = box_distance(proj[want], other["lo"], other["hi"]) <= outer[want][:, None]
+            other = other or cells.get(s, int(numbers[c]))
+            at = visit % many
+            most = np.full(len(visit), np.inf, np.float32)
+            if len(before):
+                again = np.searchsorted(visit, before)
+                most[again] = (norm - inner)[at[again]]
+            seen[c] = visit
             qs, rs = [], []
-            for leaf in np.flatnonzero(visit.any(axis=0)):
-                q = want[visit[:, leaf]]
+            edges = np.searchsorted(visit, np.arange(first[c + 1] - first[c] + 1) * many)
+            for leaf in np.flatnonzero(np.diff(edges)):
+                q, end = at[edges[leaf] : edges[leaf + 1]], most[edges[leaf] : edges[leaf + 1]]
                 a, b = other["ends"][leaf], other["ends"][leaf + 1]
-                least, most = (norm[q] - outer[q])[:, None], norm[q] - inner[q]
+                least = (norm[q] - outer[q])[:, None]
                 for i in range(0, len(q), 512):  # 2 q.p - |p|^2 against |q|^2 - radius, in pieces that stay in cache
                     d = asked[q[i : i + 512]] @ other["lifted"][:, a:b]
                     hit = np.flatnonzero(d >= least[i : i + 512])
                     if len(hit):
                         who = hit // (b - a) + i
-                        ring = d.ravel()[hit] < most[who]
+                        ring = d.ravel()[hit] < end[who]
                         qs.append(q[who[ring]])
                         rs.append(hit[ring] % (b - a) + a)
             if qs:
@@ -327,10 +445,12 @@ def search_cell(cells: _Cells, directory, s: int, cell: int, k: int, stop: float
                     near = np.einsum("ij,ij->i", unit[x], other["unit"][y]) >= best.cos[x, -1] - error
                     x, y = x[near], y[near]
                     best.add(x, _cosines(home, x, other, y), other["least"][y], int(numbers[c]), y)
+                    for row in np.unique(y[other["key_counts"][y] > 1]).tolist():
+                        best.copies[int(numbers[c]), row] = other["keys"][other["key_ends"][row] : other["key_ends"][row + 1]]
         needed = (stop * 2 * np.maximum(0, 1 - best.worst())).astype(np.float32)  # as precise as ``outer``, which may be set to it
-        open_ = open_[(needed[open_] > outer[open_]) & (outer[open_] < everything)]
-        inner[open_] = outer[open_]
-        outer[open_] = np.minimum(needed[open_], outer[open_] * RADIUS_GROWTH)
+        is_open &= (needed > outer) & (outer < everything)
+        inner[is_open] = outer[is_open]
+        outer[is_open] = np.minimum(needed, outer * RADIUS_GROWTH)[is_open]
     return best
 
 
@@ -345,7 +465,8 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     count = {r["space"]: r["count"] for r in sizes}
     m = projected_dimensions(max(count.values(), default=1))
     proj = directions(dim, m, seed)
-    stop = chi_square_quantile(confidence, m)
+    miss = (1 - confidence) / 4  # by leaf, and the rest by radius
+    stop = chi_square_quantile(confidence + miss, m)
     k1 = k + 1
     kind = rows.schema["space"].dataType.simpleString()
     # a space of one cell needs no tree, another a few rows for each of its cells
@@ -392,15 +513,18 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
         raw = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, dim)
         raw, keys, copies = _group_copies(raw, [np.frombuffer(x, np.int64) for x in pdf["keys"]], pdf["copies"].to_numpy(), k1)
         p = _unit(raw) @ proj
-        leaf = descend(grow(p, -(-len(p) // LEAF_POINTS)), p)
+        tree = grow(p, -(-len(p) // LEAF_POINTS))
+        leaf = descend(tree, p)
         order = np.argsort(leaf, kind="stable")
+        number = {x: i for i, x in enumerate(np.unique(leaf).tolist())}
+        tree = np.array([(-1, 0, number.get(a, -1), 0) if axis < 0 else (axis, cut, a, b) for axis, cut, a, b in tree], np.float64).tobytes()
         out = []
         for n, at in enumerate(np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1)):
             part = [keys[i] for i in at]
-            out.append((int(label[0]), int(label[1]), n, len(at), p[at].min(axis=0).tobytes(), p[at].max(axis=0).tobytes(), p.min(axis=0).tobytes(), p.max(axis=0).tobytes(), raw[at].tobytes(), np.array([len(x) for x in part], np.int32).tobytes(), np.concatenate(part).tobytes(), int(copies[at].max())))
-        return pd.DataFrame(out, columns=["s", "cell", "leaf", "points", "lo", "hi", "cell_lo", "cell_hi", "vec", "key_counts", "keys", "most_copies"])
+            out.append((int(label[0]), int(label[1]), n, len(at), p[at].min(axis=0).tobytes(), p[at].max(axis=0).tobytes(), p.min(axis=0).tobytes(), p.max(axis=0).tobytes(), raw[at].tobytes(), np.array([len(x) for x in part], np.int32).tobytes(), np.concatenate(part).tobytes(), int(copies[at].max()), b"" if n else tree))
+        return pd.DataFrame(out, columns=["s", "cell", "leaf", "points", "lo", "hi", "cell_lo", "cell_hi", "vec", "key_counts", "keys", "most_copies", "tree"])
 
-    layout = "s int, cell int, leaf int, points int, lo binary, hi binary, cell_lo binary, cell_hi binary, vec binary, key_counts binary, keys binary, most_copies long"
+    layout = "s int, cell int, leaf int, points int, lo binary, hi binary, cell_lo binary, cell_hi binary, vec binary, key_counts binary, keys binary, most_copies long, tree binary"
     path = shared_dir(spark)
     placed = rows.mapInArrow(place, "s int, cell int, vec binary, keys binary, copies long")
     placed.groupBy("s", "cell").applyInPandas(leaves, layout).write.partitionBy("s", "cell").parquet(path)
@@ -408,19 +532,35 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     index = spark.read.schema(", ".join([*fields, "s int", "cell int"])).parquet(path)
     directory: dict = {}
     crowded = False
-    for r in index.groupBy("s", "cell").agg(F.first("cell_lo").alias("lo"), F.first("cell_hi").alias("hi"), F.max("most_copies").alias("copies")).orderBy("s", "cell").collect():
-        directory.setdefault(r["s"], []).append((r["cell"], r["lo"], r["hi"]))
+    of_cells = index.groupBy("s", "cell").agg(F.first("cell_lo").alias("lo"), F.first("cell_hi").alias("hi"), F.max("most_copies").alias("copies"), F.count("*").alias("leaves"), F.max("tree").alias("tree"))
+    for r in of_cells.orderBy("s", "cell").collect():
+        directory.setdefault(r["s"], []).append((r["cell"], r["lo"], r["hi"], r["leaves"], r["tree"]))
         crowded |= r["copies"] > k1
-    boxes = spark.sparkContext.broadcast({s: (np.array([c for c, _, _ in x], np.int32), *(np.stack([np.frombuffer(y[i], np.float32) for y in x]) for i in (1, 2))) for s, x in directory.items()})
+    by_number = {names[x]: tree for x, tree in trees.value.items()}
+
+    def listed(s: int, x: list[tuple]) -> tuple:
+        first = np.cumsum([0, *[n for _, _, _, n, _ in x]])
+        below = {c: (int(first[i]), np.frombuffer(tree).reshape(-1, 4).tolist()) for i, (c, _, _, _, tree) in enumerate(x)}
+        nodes = graft(by_number.get(s) or [(-1, 0.0, 0, 0)], below)
+        return np.array([y[0] for y in x], np.int32), *(np.stack([np.frombuffer(y[i], np.float32) for y in x]) for i in (1, 2)), first, nodes
+
+    boxes = spark.sparkContext.broadcast({s: listed(s, x) for s, x in directory.items()})
+    every = [(s, x[0]) for s in sorted(directory) for x in directory[s]]
+    turns = spark.sparkContext.broadcast(every)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells(path, dim, proj)
         for batch in batches:
-            for s, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                best = search_cell(cells, boxes.value[s], s, cell, k, stop)
-                yield from _ranked(cells, s, cell, best, k, crowded)
-
-    asked = index.where("leaf = 0").select("s", "cell")
+            own: dict = {}
+            for s, cell in (turns.value[i] for i in batch.column(0).to_pylist()):
+                own.setdefault(s, []).append(cell)
+            for s, block in own.items():
+                home = _home(cells, s, block)
+                yield from _ranked(s, home, search_cells(cells, boxes.value[s], s, home, k, stop, miss), k, crowded)
+
+    # cells that follow each other lie side by side and need the same others
+    tasks = max(1, min(len(every), max(3 * spark.sparkContext.defaultParallelism, -(-len(every) // CELLS_A_TASK))))
+    asked = spark.range(0, len(every), 1, tasks)
     found = asked.mapInArrow(search, "key long, neighbour long, similarity double, position int, copies_of binary")
     lists = found.where("copies_of is null").drop("copies_of")
     if not crowded:
@@ -428,26 +568,24 @@ def nearest(df: DataFrame, key: str = "vec_id", space: str = "space", vector: st
     return lists.unionByName(_further_copies(rows, found, index, k1, dim, numbers))
 
 
-def _ranked(cells: _Cells, s: int, cell: int, best: _Best, k: int, crowded: bool) -> Iterator[pa.RecordBatch]:
+def _ranked(s: int, home: dict, best: _Best, k: int, crowded: bool) -> Iterator[pa.RecordBatch]:
     """The ranking of the best points, with copies, for all keys of each query."""
+    best.codes = np.array([(c << 32) | row for c, row in best.copies], np.int64)
     for a in range(0, len(best.row), 1024):
-        yield _ranked_part(cells, s, cell, np.arange(a, min(a + 1024, len(best.row))), best, k, crowded)
+        yield _ranked_part(s, home, np.arange(a, min(a + 1024, len(best.row))), best, k, crowded)
 
 
-def _ranked_part(cells: _Cells, s: int, cell: int, at: np.ndarray, best: _Best, k: int, crowded: bool) -> pa.RecordBatch:
-    home = cells.get(s, cell)
+def _ranked_part(s: int, home: dict, at: np.ndarray, best: _Best, k: int, crowded: bool) -> pa.RecordBatch:
     q, j = np.nonzero(best.row[at] >= 0)
-    row, from_cell = best.row[at][q, j], best.cell[at][q, j]
-    n_keys = np.empty(len(q), np.int64)
-    first = np.empty(len(q), np.int64)
-    pools = []
-    base = 0
-    for c in np.unique(from_cell):
-        other, i = cells.get(s, int(c)), np.flatnonzero(from_cell == c)
-        n_keys[i] = other["key_counts"][row[i]]
-        first[i] = other["key_ends"][row[i]] + base
-        pools.append(other["keys"])
-        base += len(other["keys"])
+    pools = [best.key[at][q, j]]
+    n_keys, first = np.ones(len(q), np.int64), np.arange(len(q))
+    code = (best.cell[at][q, j].astype(np.int64) << 32) | best.row[at][q, j]
+    base = len(q)
+    for c in np.unique(code[np.isin(code, best.codes)]):
+        keys, i = best.copies[int(c) >> 32, int(c) & 0xFFFFFFFF], np.flatnonzero(code == c)
+        n_keys[i], first[i] = len(keys), base
+        pools.append(keys)
+        base += len(keys)
     pool = np.concatenate(pools)
     entry = np.repeat(np.arange(len(q)), n_keys)
     key = pool[first[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n_keys) - n_keys, n_keys)]

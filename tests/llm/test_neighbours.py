@@ -106,3 +106,19 @@ def test_many_large_spaces(spark, monkeypatch):
     v = np.random.default_rng(8).standard_normal((1200, 8)).astype(np.float32)
     rows = [(i, f"s{i % 300}" if i % 300 else None, x.tolist()) for i, x in enumerate(v)]
     assert run(spark, rows, 3) == brute(rows, 3)
+
+
+def test_few_leaves_hold_the_neighbours():
+    r = np.random.default_rng(4)
+    p, off = r.standard_normal((20_000, 10)).astype(np.float32), 0.28
+    nodes = N.grow(p, 256)
+    leaf = N.descend(nodes, p)
+    q = p[:400]
+    who, where = N.likely_leaves(nodes, 256, q, np.full(len(q), 1 / off), 0.01)
+    near = np.zeros((len(q), 256), bool)
+    near[who, where] = True
+    truth = np.stack([N.descend(nodes, q + off * r.standard_normal(q.shape).astype(np.float32)) for _ in range(50)], axis=1)
+    assert np.take_along_axis(near, truth, axis=1).mean() >= 0.985
+    lo, hi = (np.stack([f(p[leaf == i], axis=0) for i in range(256)]) for f in (np.min, np.max))
+    within = N.box_distance(q, lo, hi) <= N.chi_square_quantile(0.98, 10) * off**2
+    assert near.sum() < 0.5 * within.sum()
