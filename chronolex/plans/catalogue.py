@@ -624,12 +624,19 @@ def procrustes_align(spark, d):
     return stats.procrustes_by_period(_vec(spark, d), 64)
 
 
+#: One task alone trains on so much text; larger collections are trained on by as many tasks as there are cores, if each has as much.
+CHARACTERS_A_TRAINER = 8_000_000
+
+
 @query()
 def word2vec_train(spark, d):
     from pyspark.ml.feature import Word2Vec
 
-    docs = table(spark, d, "documents").where("text is not null").select(X.words(F.col("text")).alias("words")).where(F.size("words") > 1)
-    return Word2Vec(vectorSize=300, windowSize=5, minCount=100, maxIter=1, seed=7, inputCol="words", outputCol="v").fit(docs).getVectors().select("word", "vector")
+    texts = table(spark, d, "documents").where("text is not null")
+    characters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    trainers = max(1, min(spark.sparkContext.defaultParallelism, -(-characters // CHARACTERS_A_TRAINER)))
+    docs = texts.select(X.words(F.col("text")).alias("words")).where(F.size("words") > 1)
+    return Word2Vec(vectorSize=300, windowSize=5, minCount=100, maxIter=1, seed=7, numPartitions=trainers, inputCol="words", outputCol="v").fit(docs).getVectors().select("word", "vector")
 
 
 # ---------------------------------------------------------------- yearly series

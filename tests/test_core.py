@@ -193,6 +193,18 @@ def test_word2vec_returns_its_vectors(spark, tmp_path):
     assert {w: v.size for w, v in got.items()} == {"often": 300, "word": 300} and all(v.toArray().any() for v in got.values())
 
 
+def test_word2vec_trains_on_all_cores(spark, tmp_path, monkeypatch):
+    from pyspark.ml import feature
+
+    tasks, fit = [], feature.Word2Vec.fit
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, docs: tasks.append(self.getNumPartitions()) or fit(self, docs))
+    monkeypatch.setattr(catalogue, "CHARACTERS_A_TRAINER", 100, raising=False)
+    spark.createDataFrame([("often seldom often word",)] * 100, "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.vector for r in catalogue.QUERIES["word2vec_train"](spark, str(tmp_path)).collect()}
+    assert tasks == [spark.sparkContext.defaultParallelism]
+    assert {w: v.size for w, v in got.items()} == {"often": 300, "seldom": 300, "word": 300} and all(v.toArray().any() for v in got.values())
+
+
 def test_procrustes_undoes_a_rotation(spark):
     import numpy as np
 
